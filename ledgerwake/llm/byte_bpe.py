@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Recent
+
 _MASK = (1 << 64) - 1
 
 
@@ -63,25 +65,6 @@ class MinimalPerfectHash:
         return -d - 1 if d < 0 else self._place(h, d)
 
 
-class Memory(dict):
-    """Ids of the pre-tokens met lately. At LIMIT entries it starts anew, with those that it had until then at hand."""
-
-    LIMIT = 200_000
-
-    def __init__(self, encode_piece):
-        self.encode_piece, self.older = encode_piece, {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.encode_piece(piece.encode())
-        if len(self) >= self.LIMIT:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder of one vocabulary. Small enough to broadcast: it grows with the vocabulary alone."""
 
@@ -104,7 +87,7 @@ class Codec:
 
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern).findall
-        self.memory = Memory(self.encode_piece)
+        self.memory = Recent(lambda piece: self.encode_piece(piece.encode()))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("split", "memory")}

@@ -52,5 +52,35 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+class Recent(dict):
+    """What make gives for the keys met lately. At limit entries it starts anew, with those that it had until then at hand."""
+
+    def __init__(self, make, limit: int = 200_000):
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def in_slices(texts, most_chars: int):
+    """Lists of texts of about so many characters; a longer text is alone in its list, whole."""
+    own, size = [], 0
+    for x in texts:
+        if own and size + len(x or "") > most_chars:
+            yield own
+            own, size = [], 0
+        own.append(x)
+        size += len(x or "")
+    if own:
+        yield own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

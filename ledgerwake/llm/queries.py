@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, pii, repetition
+from . import byte_bpe, language_id, mixing, pii, quality_classifier, repetition
 from .common import crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    named = docs.select("doc_id", held_out.alias("held_out"), language_id.predict_column(F.col("text"), model, spark).alias("p"))
+    return named.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", quality_classifier.grade_column().alias("grade"))
+    model = quality_classifier.fit(docs, ratings)
+    graded = docs.select("doc_id", quality_classifier.grade_chances(F.col("text"), model, spark).alias("g"))
+    top = F.col("g.tail")[1]
+    return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= 0.5).alias("kept"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     found = table(spark, sf_dir, "documents").select("doc_id", pii.span_column(F.col("text")).alias("s"))
@@ -43,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op7_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_language_id, op5_quality_classifier, op7_pii, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": """

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, in_slices
 
 #: Words of a window of the base rule, and so the shortest repeat that counts.
 SHORTEST = 5
@@ -164,14 +164,8 @@ def repetition_column(text: Column, shortest: int = SHORTEST, words_at_once: int
     @F.pandas_udf(FIELDS)
     def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows, own, size = [], [], 0
-            for x in texts:
-                own.append(x)
-                size += len(x or "")
-                if size >= 6 * words_at_once:
-                    rows += measure(own, shortest)
-                    own, size = [], 0
-            yield pd.DataFrame(rows + measure(own, shortest), columns=[f.split()[0] for f in FIELDS.split(", ")])
+            rows = [row for own in in_slices(texts, 6 * words_at_once) for row in measure(own, shortest)]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return repetition(text)
 
