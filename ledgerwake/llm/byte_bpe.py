@@ -9,13 +9,14 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .common import Recent
@@ -179,6 +180,20 @@ def decoder(spark: SparkSession, path: str, pattern: str):
     return decode
 
 
-def ids_digest(ids: Column) -> Column:
-    """Hex SHA-256 of the decimal ids joined by one space."""
-    return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
+def round_trip(spark: SparkSession, path: str, pattern: str):
+    """A function from a text column to the struct of its n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the bytes decoded from the ids). A text's ids live no longer than its own row takes."""
+    shared = spark.sparkContext.broadcast(codec_of(path, pattern))
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = shared.value
+        decimal = {i: str(i) for i in codec.token}
+        for texts in batches:
+            rows = []
+            for x in texts:
+                ids = codec.encode(x or "")
+                joined = " ".join(map(decimal.__getitem__, ids))
+                rows.append((len(ids), sha256(joined.encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digests

@@ -13,10 +13,8 @@ BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    encode, decode = byte_bpe.encoder(spark, path, pattern), byte_bpe.decoder(spark, path, pattern)
-    ids = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    digests = byte_bpe.round_trip(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return table(spark, sf_dir, "documents").select("doc_id", digests("text").alias("t")).select("doc_id", "t.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
