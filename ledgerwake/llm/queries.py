@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, pii, quality_classifier, repetition, warc
+from . import byte_bpe, fingerprint, language_id, mixing, pii, quality_classifier, repetition, warc
 from .common import crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -58,11 +58,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    pairs = fingerprint.with_next(docs, ["text"], {"fp": fingerprint.fingerprint(F.col("text"))}).withColumn("n", F.char_length("text"))
+    edited = pairs.select("doc_id", "n", "fp", "next_fp", fingerprint.edited_text(F.col("text"), F.col("next_text"), F.col("n")).alias("edited"))
+    marked = edited.withColumn("edited_fp", fingerprint.fingerprint(F.col("edited")))
+    return marked.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint.hex_form(F.col("fp")).alias("fingerprint"), fingerprint.hex_form(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op7_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op7_pii, op8_fingerprint, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": """
