@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, language_id, mixing, pii, quality_classifier, repetition, warc
+from . import byte_bpe, fingerprint, jaccard_join, language_id, mixing, pii, quality_classifier, repetition, warc
 from .common import crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -48,6 +48,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= 0.5).alias("kept"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "copy_class_id", "class_id", "n_links", "chosen")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     found = table(spark, sf_dir, "documents").select("doc_id", pii.span_column(F.col("text")).alias("s"))
@@ -75,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op7_pii, op8_fingerprint, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": """
