@@ -180,11 +180,12 @@ def decoder(spark: SparkSession, path: str, pattern: str):
     return decode
 
 
-def round_trip(spark: SparkSession, path: str, pattern: str):
-    """A function from a text column to the struct of its n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the bytes decoded from the ids). A text's ids live no longer than its own row takes."""
+def round_trip(spark: SparkSession, path: str, pattern: str, with_ids: bool = False):
+    """A function from a text column to the struct of its n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the bytes decoded from the ids), and of the ids themselves where they are asked for; else a text's ids live no longer than its own row takes. A null text counts as empty."""
     shared = spark.sparkContext.broadcast(codec_of(path, pattern))
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = shared.value
         decimal = {i: str(i) for i in codec.token}
@@ -193,7 +194,8 @@ def round_trip(spark: SparkSession, path: str, pattern: str):
             for x in texts:
                 ids = codec.encode(x or "")
                 joined = " ".join(map(decimal.__getitem__, ids))
-                rows.append((len(ids), sha256(joined.encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = len(ids), sha256(joined.encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()
+                rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+            yield pd.DataFrame(rows, columns=fields)
 
     return digests

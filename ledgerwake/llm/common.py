@@ -82,5 +82,13 @@ def in_slices(texts, most_chars: int):
         yield own
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as keep it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

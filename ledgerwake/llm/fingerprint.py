@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, written
+from .common import WORD_SQL, spare, written
 
 BIN_BITS = 7
 N_BINS = 1 << BIN_BITS
@@ -97,23 +97,26 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
     """docs with the derived columns, made from the columns, and with next_<name> for columns and derived ones alike: their values in the row after it by descending id (null ids last), in the first row after the last. Equal ids go by the columns in turn.
 
     Rows are dealt by ranges of ids, and followed within each range by a window. A range's last row is followed by the first
-    of the next range that has rows: those first rows, at most as many as there are ranges, are ordered in one task.
+    of the next range that has rows: those first rows, at most as many as there are ranges, are ordered in one task. A single
+    row is followed by itself; an empty table stays empty. An extra column called next_<name> gives way, others may have any name.
     """
     derived = derived or {}
     names = [*columns, *derived]
-    dealt = docs.withColumn("_range", _ranges(docs, id_col, rows_each, most))
-    highest = dealt.groupBy(F.col("_range").alias("_r")).agg(F.max(id_col).alias("_high"))
-    heads = dealt.join(F.broadcast(highest), (F.col("_range") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_high")))
-    heads = heads.groupBy("_range").agg(F.min(F.struct(*columns)).alias("_head")).select("_range", "_head.*").withColumns(derived)
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range"))
+    own = {k: spare(f"_{k}", [*docs.columns, *names]) for k in ("range", "r", "high", "head", "inside")}
+    following = {c: f"next_{c}" for c in names}
+    after, inner = ({c: spare(f"_{what}_{c}", docs.columns) for c in names} for what in ("after", "inside"))
+    dealt = docs.withColumn(own["range"], _ranges(docs, id_col, rows_each, most))
+    highest = dealt.groupBy(F.col(own["range"]).alias(own["r"])).agg(F.max(id_col).alias(own["high"]))
+    heads = dealt.join(F.broadcast(highest), (F.col(own["range"]) == F.col(own["r"])) & F.col(id_col).eqNullSafe(F.col(own["high"])))
+    heads = heads.groupBy(own["range"]).agg(F.min(F.struct(*columns)).alias(own["head"])).select(own["range"], f"{own['head']}.*").withColumns(derived)
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc(own["range"]))
     everywhere = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = [F.coalesce(F.lead(c).over(falling), F.first(c).over(everywhere)).alias(f"_after_{c}") for c in names]
-    heads = written(heads.select("_range", *after), "range-heads")
-    inside = Window.partitionBy("_range").orderBy(F.col(id_col).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in columns))
-    followed = dealt.withColumns(derived).select("*", *(F.lead(c).over(inside).alias(f"_next_{c}") for c in names), F.lead(F.lit(True)).over(inside).alias("_inside"))
-    joined = followed.join(heads, "_range", "left")
-    following = [F.when(F.col("_inside"), F.col(f"_next_{c}")).otherwise(F.col(f"_after_{c}")).alias(f"next_{c}") for c in names]
-    return joined.select(*(F.col(f"`{c}`") for c in [*docs.columns, *derived]), *following)
+    heads = written(heads.select(own["range"], *(F.coalesce(F.lead(c).over(falling), F.first(c).over(everywhere)).alias(after[c]) for c in names)), "range-heads")
+    inside = Window.partitionBy(own["range"]).orderBy(F.col(id_col).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in columns))
+    followed = dealt.withColumns(derived).select("*", *(F.lead(c).over(inside).alias(inner[c]) for c in names), F.lead(F.lit(True)).over(inside).alias(own["inside"]))
+    joined = followed.join(heads, own["range"], "left")
+    kept = [c for c in [*docs.columns, *derived] if c.lower() not in {x.lower() for x in following.values()}]
+    return joined.select(*(F.col(f"`{c}`") for c in kept), *(F.when(F.col(own["inside"]), F.col(inner[c])).otherwise(F.col(after[c])).alias(following[c]) for c in names))
 
 
 def edited_text(text: Column, following: Column, n_chars: Column) -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Recent, in_slices, written
+from .common import WORD, WORD_SQL, Recent, in_slices, spare, written
 
 N_HASHES, BAND, STEP = 128, 4, 16
 N_BANDS = N_HASHES // BAND
@@ -281,7 +281,8 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_co
     """One row for each row of docs: doc_id, h1, h2, copy_class_id (least doc_id of equal shingle sets), class_id (least doc_id of all that links lead to), n_links (other rows with at least the threshold's similarity), chosen (in the one row of its class that stands for it, or a repetition of that row).
 
     A row without words (null, empty or blank text) has no links and stands for itself. Rows of equal id and text are copies
-    like any others. A class without any id has null as its class_id.
+    like any others. A class without any id has null as its class_id. A very long text is shingled whole, alone in its slice.
+    An empty table gives no rows; extra columns are not looked at.
     """
     spark = docs.sparkSession
     rows = signed(docs, id_col, text)
@@ -324,10 +325,11 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_co
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near duplicates, all columns: that of the least id; of its repetitions an arbitrary one. Rows without words all stay."""
-    chosen = join(docs, threshold, tolerance, id_col, text).filter("chosen").select("h1", "h2").distinct()
-    marked = docs.withColumns({"_h1": F.xxhash64(id_col, text), "_h2": F.xxhash64(text, id_col)})
-    kept = marked.join(chosen, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = kept.filter(~blank).dropDuplicates(["_h1", "_h2"])
-    return worded.unionByName(kept.filter(blank)).drop("_h1", "_h2")
+    """One row of each class of near duplicates, all columns: that of the least id; of its repetitions an arbitrary one. Rows without words (null, empty or blank texts) all stay. An empty table stays empty; extra columns may have any name."""
+    own, theirs, lone = [spare(f"_h{k}", docs.columns) for k in (1, 2)], [spare(f"_chosen{k}", docs.columns) for k in (1, 2)], spare("_lone", docs.columns)
+    chosen = join(docs, threshold, tolerance, id_col, text).filter("chosen").select(F.col("h1").alias(theirs[0]), F.col("h2").alias(theirs[1])).distinct()
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD_SQL)
+    hashes = dict(zip(own, (c for c in _identity(id_col, text))))
+    marked = docs.withColumns({**hashes, lone: F.when(blank, F.monotonically_increasing_id())})
+    kept = marked.join(chosen, (F.col(own[0]) == F.col(theirs[0])) & (F.col(own[1]) == F.col(theirs[1])), "left_semi")
+    return kept.dropDuplicates([*own, lone]).drop(*own, lone)

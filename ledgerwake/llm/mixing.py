@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare, written
 
 #: Weight of every source for which none is given.
 EVEN = 1.0
@@ -50,16 +50,18 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", source: str = "source", text: str = "text", copy_col: str | None = None) -> DataFrame:
     """Each row as many times as it drew, in an order hashed anew; the columns of docs, and the copy's number from 1 as copy_col.
 
-    Rows of the same id draw the same count. The rates are written first: Spark broadcasts a table of that file size only
+    Rows of the same id draw the same count; a null id draws like the empty text. A null or empty text has no characters: it
+    counts for nothing, and is repeated as its source's other documents are; a source of such texts alone goes. A very long
+    text counts whole. An empty table stays empty; extra columns may have any name. The rates are written first: Spark broadcasts a table of that file size only
     below its threshold, and else joins by shuffling, where a hot source is split by adaptive execution.
     """
+    name = {k: spare(f"_mix_{k}", docs.columns) for k in ("source", "cdf", "draw", "count", "copy", "key")}
     own = rates(docs, weights, epochs, source, text)
-    table = written(own.select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf")), "rates")
-    draw = hashed_unit(F.col(id_col), seed)
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_draw", draw)
-    counted = joined.withColumn("_mix_count", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_draw"))))
-    copies = counted.filter("_mix_count > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
-    keyed = copies.withColumn("_mix_key", F.xxhash64(F.col(id_col), F.col(text), "_mix_copy", F.lit(seed)))
-    shuffled = keyed.repartition("_mix_key").sortWithinPartitions("_mix_key")
+    table = written(own.select(F.col("source").alias(name["source"]), poisson_cdf(F.col("rate")).alias(name["cdf"])), "rates")
+    joined = docs.join(table, F.col(source).eqNullSafe(F.col(name["source"]))).withColumn(name["draw"], hashed_unit(F.col(id_col), seed))
+    counted = joined.withColumn(name["count"], F.size(F.filter(name["cdf"], lambda c: c <= F.col(name["draw"]))))
+    copies = counted.filter(F.col(name["count"]) > 0).withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["count"]))))
+    keyed = copies.withColumn(name["key"], F.xxhash64(F.col(id_col), F.col(text), name["copy"], F.lit(seed)))
+    shuffled = keyed.repartition(name["key"]).sortWithinPartitions(name["key"])
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return shuffled.select(*kept, *([F.col("_mix_copy").alias(copy_col)] if copy_col else []))
+    return shuffled.select(*kept, *([F.col(name["copy"]).alias(copy_col)] if copy_col else []))
