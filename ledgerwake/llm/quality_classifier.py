@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Recent, unit_hash
+from .common import WORD, Recent, spare, unit_hash
 
 N_BUCKETS = 1 << 22
 #: How much a share of 1 counts against the 1 of a word that is there.
 SHARE = 6.0
+#: Chance of the highest grade from which a document is kept.
+LEAST_CHANCE = 0.85
 _CORE = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+", re.S)
 
@@ -71,8 +73,9 @@ class Features:
 
 @dataclass
 class OrdinalModel:
-    #: bucket -> weight, of the buckets that have one
-    weights: dict[int, float]
+    #: the buckets that have a weight, and their weights
+    buckets: np.ndarray
+    weights: np.ndarray
     thresholds: np.ndarray
 
     def chances(self, level: np.ndarray) -> np.ndarray:
@@ -81,44 +84,66 @@ class OrdinalModel:
         return np.diff(np.c_[np.zeros(len(level)), below, np.ones(len(level))], axis=1)
 
 
-def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_grades: int, least_docs: int = 5, ridge: float = 0.02, rounds: int = 250) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty, by Adam on weights and thresholds (the first one and the logarithms of the gaps). Buckets of fewer than least_docs rows get no weight. Grades that don't occur make their threshold gap shrink to about 0."""
-    sizes = np.array([len(r) for r in rows])
-    flat, x = (np.concatenate(z) if len(z) else np.zeros(0, t) for z, t in ((rows, np.int64), (values, np.float32)))
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    buckets, column, docs = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = docs >= least_docs
-    place = np.cumsum(keep) - 1
-    used = keep[column]
-    column, owner, x, buckets = place[column[used]], owner[used], x[used].astype(np.float64), buckets[keep]
-    n, cuts = max(1, len(rows)), n_grades - 1
-    params = np.zeros(len(buckets) + cuts)
-    d = len(buckets)
-    shares_below = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
-    start = np.log(shares_below / (1 - shares_below))
-    params[d], params[d + 1 :] = start[0], np.log(np.maximum(np.diff(start), 0.1))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _slopes(level: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's log likelihood: the part of its upper threshold and that of its lower one; level has the negative of their sum."""
+    edge = np.r_[-np.inf, cuts, np.inf]
+    up, low = (np.where(np.isinf(e), e > 0, _sigmoid(np.where(np.isinf(e), 0, e) - level)) for e in (edge[grades + 1], edge[grades]))
+    p = np.maximum(up - low, 1e-9)
+    return up * (1 - up) / p, -low * (1 - low) / p
+
+
+def _climb(column: np.ndarray, owner: np.ndarray, x: np.ndarray, grades: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on weights and thresholds (the first one and the logarithms of the gaps), from where they are."""
+    d, n, n_grades = len(w), len(grades), len(cuts) + 1
+    params = np.r_[w, cuts[0], np.log(np.maximum(np.diff(cuts), 1e-6))]
     first, second = np.zeros_like(params), np.zeros_like(params)
-    edge = lambda t: np.r_[-np.inf, t, np.inf]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for k in range(1, rounds + 1):
-        w, gaps = params[:d], np.exp(params[d + 1 :])
-        cut = edge(params[d] + np.r_[0, np.cumsum(gaps)])
-        level = np.bincount(owner, w[column] * x, len(rows))
-        up, low = sig(cut[grades + 1] - level), sig(cut[grades] - level)
-        up[np.isinf(cut[grades + 1])], low[np.isinf(cut[grades])] = 1.0, 0.0
-        p = np.maximum(up - low, 1e-9)
-        d_up, d_low = up * (1 - up) / p, low * (1 - low) / p
-        d_level = (d_up - d_low) / n  # of the negative log likelihood
-        grad = np.zeros_like(params)
-        grad[:d] = np.bincount(column, d_level[owner] * x, d) + ridge * w / n**0.5 / 10
-        d_cut = (np.bincount(grades, -d_up, n_grades)[:cuts] + np.bincount(grades, d_low, n_grades)[1:]) / n
-        grad[d] = d_cut.sum()
-        grad[d + 1 :] = np.cumsum(d_cut[::-1])[::-1][1:] * gaps
+        gaps = np.exp(params[d + 1 :])
+        upper, lower = _slopes(np.bincount(owner, params[:d][column] * x, n), params[d] + np.r_[0, np.cumsum(gaps)], grades)
+        up_by_cut = (np.bincount(grades, upper, n_grades)[:-1] + np.bincount(grades, lower, n_grades)[1:]) / n
+        grad = np.r_[np.bincount(column, (upper + lower)[owner] * x, d) / n + ridge / n * params[:d], -up_by_cut.sum(), -np.cumsum(up_by_cut[::-1])[::-1][1:] * gaps]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         rate = 0.1 * min(1.0, 2 * (1 - k / rounds) + 0.02)
         params -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
-    w = params[:d]
-    return OrdinalModel({int(b): float(v) for b, v in zip(buckets, w) if v}, params[d] + np.r_[0, np.cumsum(np.exp(params[d + 1 :]))])
+    return params[:d], params[d] + np.r_[0, np.cumsum(np.exp(params[d + 1 :]))]
+
+
+def fit_ordinal(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, least_docs: int = 5, least_z: float = 4.5, most_buckets: int = 4096, ridge: float = 0.3, rounds: int = 200) -> OrdinalModel:
+    """Maximum likelihood with a ridge penalty. bucket, value: those of all rows in turn; sizes: how many each row has.
+
+    Only buckets that tell something get a weight: in turns, those whose score test against the model so far is at least
+    least_z join it, the strongest first and at most as many as it has, and all weights are fitted anew. Buckets of fewer than
+    least_docs rows never do. Grades that don't occur make their threshold gap shrink to about 0.
+    """
+    keep = np.bincount(bucket, minlength=N_BUCKETS) >= least_docs
+    buckets, used = np.flatnonzero(keep), keep[bucket]
+    place = np.cumsum(keep, dtype=np.int32) - 1
+    column, owner, x = place[bucket[used]], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[used], value[used]
+    del used, keep, place
+    n, d = max(1, len(sizes)), len(buckets)
+    below = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
+    start = np.log(below / (1 - below))
+    cuts = start[0] + np.r_[0, np.cumsum(np.maximum(np.diff(start), 0.1))]
+    norm, w, active = np.sqrt(np.bincount(column, x * x, d)), np.zeros(d), np.zeros(d, bool)
+    while active.sum() < most_buckets:
+        inside = np.flatnonzero(active[column])
+        slope = -np.add(*_slopes(np.bincount(owner[inside], w[column[inside]] * x[inside], n), cuts, grades))
+        z = np.abs(np.bincount(column, slope[owner] * x, d)) / (norm * np.sqrt(np.mean(slope**2)) + 1e-12)
+        z[active] = 0
+        room = min(max(16, int(active.sum())), most_buckets - int(active.sum()))
+        joining = np.argsort(-z, kind="stable")[:room]
+        joining = joining[z[joining] >= least_z]
+        if not len(joining):
+            break
+        active[joining] = True
+        at, inside = np.flatnonzero(active), np.flatnonzero(active[column])
+        w[at], cuts = _climb(np.searchsorted(at, column[inside]), owner[inside], x[inside].astype(np.float64), grades, w[at], cuts, ridge, rounds)
+    at = np.flatnonzero(active)
+    return OrdinalModel(buckets[at], w[at].astype(np.float32), cuts)
 
 
 def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -139,10 +164,15 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
             yield pd.DataFrame({"grade": rows["grade"].to_numpy(), "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
 
     joined = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc_id") == F.col("_rated_id"))
-    sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, bucket array<int>, value array<float>").toPandas()
-    if sample["grade"].nunique() < 2:
+    sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, bucket array<int>, value array<float>").toArrow()
+    grades = sample["grade"].to_numpy().astype(np.int64)
+    if len(np.unique(grades)) < 2:
         return None
-    return fit_ordinal([np.asarray(b, np.int64) for b in sample["bucket"]], list(sample["value"]), sample["grade"].to_numpy(np.int64), n_grades)
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks])
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample["bucket"].chunks])
+    bucket, value = flat("bucket"), flat("value")
+    del sample
+    return fit_ordinal(bucket, value, sizes, grades, n_grades)
 
 
 def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int = 3) -> Column:
@@ -154,7 +184,7 @@ def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int
         own, extract = shared.value, Features()
         weight = np.zeros(N_BUCKETS, np.float32)
         if own:
-            weight[list(own.weights)] = list(own.weights.values())
+            weight[own.buckets] = own.weights
         for texts in batches:
             if own is None:
                 yield pd.DataFrame({"expected_grade": float(n_grades - 1), "tail": [np.ones(n_grades - 1)] * len(texts)})
@@ -169,8 +199,13 @@ def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int
     return predict(text)
 
 
-def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = 0.5, n_grades: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose chance of the highest grade is at least least_chance."""
+def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = LEAST_CHANCE, n_grades: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose chance of the highest grade is at least least_chance.
+
+    A null or empty text is graded by the thresholds alone; a very long one by all its words. Repeated rows are graded alike.
+    Without ratings that tell anything apart all rows stay. An empty table stays empty; extra columns may have any name.
+    """
     model = fit(docs, ratings, n_grades, id_col, text)
-    scored = docs.withColumn("_grade_chances", grade_chances(F.col(text), model, docs.sparkSession, n_grades))
-    return scored.filter(F.col("_grade_chances.tail")[n_grades - 2] >= least_chance).drop("_grade_chances")
+    chances = spare("_chances", docs.columns)
+    scored = docs.withColumn(chances, grade_chances(F.col(text), model, docs.sparkSession, n_grades))
+    return scored.filter(F.col(chances)["tail"][n_grades - 2] >= least_chance).drop(chances)

@@ -45,7 +45,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, ratings)
     graded = docs.select("doc_id", quality_classifier.grade_chances(F.col("text"), model, spark).alias("g"))
     top = F.col("g.tail")[1]
-    return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= 0.5).alias("kept"))
+    return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= quality_classifier.LEAST_CHANCE).alias("kept"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
