@@ -19,9 +19,11 @@ import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, in_slices
 
 _MASK = (1 << 64) - 1
+#: Characters of the texts whose results leave a task together.
+SLICE = 4_000_000
 
 
 class MinimalPerfectHash:
@@ -189,7 +191,7 @@ def round_trip(spark: SparkSession, path: str, pattern: str, with_ids: bool = Fa
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = shared.value
         decimal = {i: str(i) for i in codec.token}
-        for texts in batches:
+        for texts in chain.from_iterable(in_slices(batch, SLICE) for batch in batches):
             rows = []
             for x in texts:
                 ids = codec.encode(x or "")

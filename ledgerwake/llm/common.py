@@ -55,7 +55,7 @@ def crc_mod(col: Column, n: int) -> Column:
 class Recent(dict):
     """What make gives for the keys met lately. At limit entries it starts anew, with those that it had until then at hand."""
 
-    def __init__(self, make, limit: int = 200_000):
+    def __init__(self, make, limit: int = 100_000):
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
