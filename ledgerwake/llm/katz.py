@@ -33,7 +33,7 @@ from .common import WORD, Recent, written
 #: Counts up to this are discounted by Good-Turing.
 MOST = 5
 SPARE = 0.01
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 TOKENS_A_COUNTER = 2_000_000
 SALT = 4_000_000
 END = np.uint64(0)
@@ -215,8 +215,9 @@ class Block:
         self.number = int(rows["to"].iloc[0])
         state = rows[rows["kind"] == STATE]["payload"].iloc[0]
         packed_words, sizes, training, tokens = unpack_all(state, 4)
-        self.sizes, self.training = sizes.astype(np.int64), training.astype(np.float64)
-        words, place = np.cumsum(packed_words, dtype=np.uint64), tokens.astype(np.int64)
+        self.sizes, self.training = sizes.astype(np.int64), training.astype(np.float32)
+        words, place = np.cumsum(packed_words, dtype=np.uint64), tokens.astype(np.int32)
+        del state, packed_words, tokens
         self.number_of, self.count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         answers = dict(rows[rows["kind"] == WORDS][["sender", "payload"]].itertuples(index=False))
         for counter, at in _split((_spread(words) % np.uint64(counters)).astype(np.int64), counters):
@@ -226,16 +227,24 @@ class Block:
         starts = np.cumsum(self.sizes) - self.sizes
         # BEGIN stands after the words, and has a count of its own: that of END
         self.begin = len(words)
-        context = np.r_[0, place[:-1]]
-        context[starts] = self.begin
-        pair, self.pair_of, n = np.unique(context * np.int64(len(words) + 1) + place, return_inverse=True, return_counts=True)
-        self.uses = np.bincount(self.pair_of, np.repeat(self.training, self.sizes), len(pair)).astype(np.int64)
+        pair = np.empty(len(place), np.int64)
+        pair[0], pair[1:] = self.begin, place[:-1]
+        pair[starts] = self.begin
+        pair *= len(words) + 1
+        pair += place
+        pair, pair_of = np.unique(pair, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del pair_of
         self.context, self.second = pair // (len(words) + 1), pair % (len(words) + 1)
         self.context_number = np.r_[self.number_of + 1, 0][self.context]  # 0: BEGIN
         ends = self.count[words == END]
         self.context_count = np.r_[self.count, ends[0] if len(ends) else 0][self.context]
         self.second_number, self.second_count = self.number_of[self.second], self.count[self.second]
 
+    def uses(self) -> np.ndarray:
+        """How often each pair occurs in training."""
+        return np.bincount(self.pair_of, np.repeat(self.training, self.sizes), len(self.context)).astype(np.int64)
+
     def counter(self, counters: int) -> np.ndarray:
         """The counter of each pair."""
         salts = (self.context_count // SALT + 1).astype(np.uint64)
@@ -265,8 +274,9 @@ def count_pairs(blocks: DataFrame, words: DataFrame, single: Singles, counters:
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         b = Block(rows, counters)
+        uses = b.uses()
         return _messages([
-            (to, PAIRS, b.number, pack_all(rising(b.context_number[at]), b.second_number[at], b.uses[at], b.second_count[at]), None)
+            (to, PAIRS, b.number, pack_all(rising(b.context_number[at]), b.second_number[at], uses[at], b.second_count[at]), None)
             for to, at in b.asked(counters)
         ])
 
@@ -327,16 +337,19 @@ def evaluate(blocks: DataFrame, words: DataFrame, pairs: DataFrame, single: Sing
             count[at] = unpack(answers[counter]).astype(np.int64)
         seen = count > 0
         log_pair = np.log10(np.where(seen, discounts.kept(count) / np.maximum(b.context_count, 1), single.probability(b.second_count)))
-        owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
-        add = lambda per_token: np.bincount(owner, per_token, len(b.sizes))
-        own_count = b.count[b.token]
-        base = add(np.log10((own_count + 1) / (single.tokens + single.distinct + 1)))
-        place = (np.int64(b.number) << 24) + np.arange(len(b.sizes))
-        whole = pd.DataFrame({"place": place, "context": pd.array([None] * len(place), "Int64"), "n": b.sizes, "n_known": add(own_count > 0).astype(np.int64), "base_score": base, "score": add(log_pair[b.pair_of])})
-        backs = ~seen[b.pair_of] & (b.context_count[b.pair_of] > 0)
-        context = b.context_number[b.pair_of[backs]]
-        away = pd.DataFrame({"place": place[owner[backs]], "context": pd.array(context, "Int64")}).value_counts(["place", "context"]).rename("n").reset_index()
-        return pd.concat([whole, away.assign(n_known=0, base_score=0.0, score=0.0)], ignore_index=True)
+        n, owner = len(b.sizes), np.repeat(np.arange(len(b.sizes), dtype=np.int32), b.sizes)
+        of_word = np.log10((b.count + 1) / (single.tokens + single.distinct + 1))
+        base, known = np.bincount(owner, of_word[b.token], n), np.bincount(owner, (b.count > 0)[b.token], n)
+        total = np.bincount(owner, log_pair[b.pair_of], n)
+        # each text's contexts that it backs off from, told apart by their places in the block
+        backs = (~seen & (b.context_count > 0))[b.pair_of]
+        away, times = np.unique(owner[backs] * np.int64(b.begin + 1) + b.context[b.pair_of[backs]], return_counts=True)
+        number = np.zeros(b.begin + 1, np.int64)
+        number[b.context] = b.context_number
+        place = (np.int64(b.number) << 24) + np.r_[np.arange(n), away // (b.begin + 1)]
+        context = pd.arrays.IntegerArray(np.r_[np.zeros(n, np.int64), number[away % (b.begin + 1)]], np.arange(n + len(away)) < n)
+        padded = lambda x: np.r_[x, np.zeros(len(away), x.dtype)]
+        return pd.DataFrame({"place": place, "context": context, "n": np.r_[b.sizes, times], "n_known": padded(known.astype(np.int64)), "base_score": padded(base), "score": padded(total)})
 
     together = states(blocks).unionByName(words.filter(F.col("kind") == WORDS)).unionByName(pairs.filter(F.col("kind") == PAIRS))
     return written(together.groupBy("to").applyInPandas(score, "place long, context long, n long, n_known long, base_score double, score double"), "scores")

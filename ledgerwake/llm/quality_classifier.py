@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -23,8 +23,9 @@ from .common import WORD, Recent, spare, unit_hash
 N_BUCKETS = 1 << 22
 #: How much a share of 1 counts against the 1 of a word that is there.
 SHARE = 6.0
-#: Chance of the highest grade from which a document is kept.
-LEAST_CHANCE = 0.85
+#: Chance of the highest grade from which a document is kept, as long as this part of the rated ones of that grade reaches it;
+#: else the chance that they do reach: a model that few ratings have taught little rejects little.
+LEAST_CHANCE, GOOD_KEPT = 0.85, 0.995
 _CORE = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+", re.S)
 
@@ -77,6 +78,13 @@ class OrdinalModel:
     buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    #: w.x of the rows that it was fitted to
+    levels: np.ndarray | None = None
+
+    def cut(self, grades: np.ndarray, least_chance: float, good_kept: float) -> float:
+        """The chance of the highest grade that a document needs, given the fitted rows' grades."""
+        good = self.chances(self.levels[grades == len(self.thresholds)])[:, -1]
+        return min(least_chance, float(np.quantile(good, 1 - good_kept, method="lower")) - 1e-3) if len(good) else least_chance
 
     def chances(self, level: np.ndarray) -> np.ndarray:
         """P(grade = k) for each value of w.x."""
@@ -142,8 +150,8 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades
         active[joining] = True
         at, inside = np.flatnonzero(active), np.flatnonzero(active[column])
         w[at], cuts = _climb(np.searchsorted(at, column[inside]), owner[inside], x[inside].astype(np.float64), grades, w[at], cuts, ridge, rounds)
-    at = np.flatnonzero(active)
-    return OrdinalModel(buckets[at], w[at].astype(np.float32), cuts)
+    at, inside = np.flatnonzero(active), np.flatnonzero(active[column])
+    return OrdinalModel(buckets[at], w[at].astype(np.float32), cuts, np.bincount(owner[inside], w[column[inside]] * x[inside], len(sizes)))
 
 
 def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -151,8 +159,8 @@ def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
     return (F.col(quality) * (2 - F.col(toxic))).cast("int")
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000) -> OrdinalModel | None:
-    """Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. Null ids, grades and texts aren't used. None if fewer than two grades are left: then there is nothing to tell apart."""
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000, least_chance: float = LEAST_CHANCE, good_kept: float = GOOD_KEPT) -> tuple[OrdinalModel | None, float]:
+    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart."""
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).select(F.col(id_col).alias("_rated_id"), "grade")
     part = most_rows / max(1, rated.count())
     drawn = rated.filter(unit_hash("_rated_id", seed=5) < part)
@@ -167,12 +175,14 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
     sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, bucket array<int>, value array<float>").toArrow()
     grades = sample["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
-        return None
+        return None, 0.0
     flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks])
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample["bucket"].chunks])
     bucket, value = flat("bucket"), flat("value")
     del sample
-    return fit_ordinal(bucket, value, sizes, grades, n_grades)
+    model = fit_ordinal(bucket, value, sizes, grades, n_grades)
+    cut = model.cut(grades, least_chance, good_kept)
+    return replace(model, levels=None), cut
 
 
 def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int = 3) -> Column:
@@ -200,12 +210,12 @@ def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int
 
 
 def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = LEAST_CHANCE, n_grades: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose chance of the highest grade is at least least_chance.
+    """The rows of docs, all columns, whose chance of the highest grade is at least least_chance (less where GOOD_KEPT says so).
 
     A null or empty text is graded by the thresholds alone; a very long one by all its words. Repeated rows are graded alike.
     Without ratings that tell anything apart all rows stay. An empty table stays empty; extra columns may have any name.
     """
-    model = fit(docs, ratings, n_grades, id_col, text)
+    model, cut = fit(docs, ratings, n_grades, id_col, text, least_chance=least_chance)
     chances = spare("_chances", docs.columns)
     scored = docs.withColumn(chances, grade_chances(F.col(text), model, docs.sparkSession, n_grades))
-    return scored.filter(F.col(chances)["tail"][n_grades - 2] >= least_chance).drop(chances)
+    return scored.filter(F.col(chances)["tail"][n_grades - 2] >= cut).drop(chances)

@@ -42,10 +42,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratings = table(spark, sf_dir, "labels").select("doc_id", quality_classifier.grade_column().alias("grade"))
-    model = quality_classifier.fit(docs, ratings)
+    model, cut = quality_classifier.fit(docs, ratings)
     graded = docs.select("doc_id", quality_classifier.grade_chances(F.col("text"), model, spark).alias("g"))
     top = F.col("g.tail")[1]
-    return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= quality_classifier.LEAST_CHANCE).alias("kept"))
+    return graded.select("doc_id", "g.expected_grade", F.col("g.tail")[0].alias("p_not_poor"), top.alias("p_good"), (top >= cut).alias("kept"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
