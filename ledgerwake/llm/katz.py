@@ -33,7 +33,7 @@ from .common import WORD, Recent, written
 #: Counts up to this are discounted by Good-Turing.
 MOST = 5
 SPARE = 0.01
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 TOKENS_A_COUNTER = 2_000_000
 SALT = 4_000_000
 END = np.uint64(0)
