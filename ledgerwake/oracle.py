@@ -78,7 +78,7 @@ def _period_facts(prefix: str) -> dict[str, str]:
             skewness(ret) AS skewness, kurtosis(ret) AS kurtosis, max(ret) AS best_return, min(ret) AS worst_return, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret < 0) AS losses,
             sum(greatest(ret, 0)) AS gained, sum(least(ret, 0)) AS lost, stddev_samp(ret) FILTER (ret < 0) * sqrt({AF}) AS downside, quantile_cont(ret, 0.05) AS var_95, sqrt(avg((100 * drawdown) ** 2)) AS ulcer0
             FROM {prefix}drawdowns GROUP BY run_id""",
-        f"{prefix}first_facts": f"SELECT *, pow(growth, {AF} / n) - 1 AS annual_return, last - {INIT} AS total_return FROM {prefix}sums",
+        f"{prefix}first_facts": f"SELECT *, CASE WHEN growth >= 0 THEN pow(growth, {AF} / n) - 1 END AS annual_return, last - {INIT} AS total_return FROM {prefix}sums",
         f"{prefix}period_facts": f"""SELECT *, CASE WHEN volatility > 0 THEN (annual_return - {RISK_FREE}) / volatility END AS sharpe, (last / {INIT} - 1) * 100 AS total_return_pct,
             funding_earned / nullif(total_return, 0) * 100 AS funding_pct_return, funding_earned / nullif(total_return, 0) * 100 AS funding_pct_pnl, turnover_mean * {AF} AS turnover_annual, weight_turnover_mean * {AF} AS weight_turnover_annual,
             coalesce(ordered / nullif(order_total, 0), 0) AS order_mean, annual_return / nullif(abs(max_drawdown_pct / 100), 0) AS calmar, wins / nullif(wins + losses, 0) AS hit_rate,

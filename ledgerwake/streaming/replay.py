@@ -16,10 +16,14 @@ from ..operators.replay import Book
 OUT = "run_id string, t_idx int, equity double, fees double, funding double, turnover double, gross_exposure double, net_exposure double, order_count long"
 
 
+def _each(name: str):
+    return F.transform("cells", lambda c: c.getField(name)).alias(name)
+
+
 def whole_periods(panel: DataFrame) -> DataFrame:
     """One row for each run and period, its assets' values as arrays in the order of asset_idx: what a source of the stream has to hold."""
     cell = F.struct("asset_idx", "weight", "close", "exec", "funding")
-    return panel.groupBy("run_id", "t_idx").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select("run_id", "t_idx", *(F.transform("cells", lambda c, n=n: c[n]).alias(n) for n in ("weight", "close", "exec", "funding")))
+    return panel.groupBy("run_id", "t_idx").agg(F.sort_array(F.collect_list(cell)).alias("cells")).select("run_id", "t_idx", *(_each(n) for n in ("weight", "close", "exec", "funding")))
 
 
 def replay_stream(periods: DataFrame, config: SimConfig) -> DataFrame:
