@@ -28,7 +28,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(
-    r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)"?\x20{0,3}[:=]\x20{0,3}["']?([a-z0-9+/_=.-]{8,256})"""
+    r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)"?\x20{0,3}[:=]\x20{0,3}["']?([a-z0-9+/_=.-]{8,}+)"""
 )
 # Words near a span that speak for it or against it.
 FOR = {

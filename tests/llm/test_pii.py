@@ -32,6 +32,13 @@ def test_added_kinds_and_context():
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
 
 
+def test_long_secret_is_masked_whole():
+    for value in ("eyJhbGci0" * 600, "a" * 300 + "7"):
+        text = f"token={value} end"
+        assert [(s.kind, s.start, s.end) for s in pii.find_spans(text)] == [("secret", 6, 6 + len(value))]
+        assert pii.mask(text, pii.find_spans(text)) == "token=<SECRET> end"
+
+
 def test_redact(docs_of):
     docs = docs_of([None, "", "mail me@x.org now", "9" * 200_000 + " a@b.cd"]).withColumn("spans", F.lit(0))
     rows = pii.redact(docs).orderBy("doc_id").collect()
