@@ -83,17 +83,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
+    m = _IBAN.search(text)
+    while m:
+        after = m.start() + 4  # if the check fails, the next one may begin inside what this one took
         for end in range(m.end(), m.start() + 14, -1):  # what follows may be words in capitals
             if end < len(text) and text[end].isalnum() or text[end - 1] == " ":
                 continue
             if mod97(text[m.start() : end].replace(" ", "")):
                 yield m.start(), end
+                after = end
                 break
+        m = _IBAN.search(text, after)
 
 
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
-    """Spans whose pattern matches and whose check holds; leftmost, not overlapping within a kind, no second try in one that fails."""
+    """Spans whose pattern matches and whose check holds; leftmost, not overlapping within a kind; of the base kinds, no second try in one that fails."""
     for start, end in _emails(text):
         yield "email", start, end
     for m in _IP.finditer(text):

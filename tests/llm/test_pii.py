@@ -39,6 +39,14 @@ def test_long_secret_is_masked_whole():
         assert pii.mask(text, pii.find_spans(text)) == "token=<SECRET> end"
 
 
+def test_every_iban_of_a_list():
+    one, two = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    spans = lambda x: [x[s.start : s.end] for s in pii.find_spans(x) if s.kind == "iban"]
+    assert spans(f"{one} {two}") == [one, two] and spans(f"{two} {one} {two}") == [two, one, two]
+    assert spans(f"AB12 CODE {one}") == [one] and spans(f"AB12 CODE AB12 {two} TO THE BANK") == [two]
+    assert spans(f"X{one}") == [] and spans("AB12 " * 20_000 + one) == [one]
+
+
 def test_redact(docs_of):
     docs = docs_of([None, "", "mail me@x.org now", "9" * 200_000 + " a@b.cd"]).withColumn("spans", F.lit(0))
     rows = pii.redact(docs).orderBy("doc_id").collect()
