@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
@@ -23,9 +23,10 @@ from .common import WORD, Recent, spare, unit_hash
 N_BUCKETS = 1 << 22
 #: How much a share of 1 counts against the 1 of a word that is there.
 SHARE = 6.0
-#: Chance of the highest grade from which a document is kept, as long as this part of the rated ones of that grade reaches it;
-#: else the chance that they do reach: a model that few ratings have taught little rejects little.
-LEAST_CHANCE, GOOD_KEPT = 0.85, 0.995
+#: The most and the least that the cut on the chance of the highest grade can be: see best_cut.
+LEAST_CHANCE, LEAST_CUT = 0.85, 0.5
+#: Parts of the ratings; each is graded by a model of the others to find the cut.
+N_FOLDS = 4
 _CORE = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+", re.S)
 
@@ -78,13 +79,6 @@ class OrdinalModel:
     buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
-    #: w.x of the rows that it was fitted to
-    levels: np.ndarray | None = None
-
-    def cut(self, grades: np.ndarray, least_chance: float, good_kept: float) -> float:
-        """The chance of the highest grade that a document needs, given the fitted rows' grades."""
-        good = self.chances(self.levels[grades == len(self.thresholds)])[:, -1]
-        return min(least_chance, float(np.quantile(good, 1 - good_kept, method="lower")) - 1e-3) if len(good) else least_chance
 
     def chances(self, level: np.ndarray) -> np.ndarray:
         """P(grade = k) for each value of w.x."""
@@ -151,7 +145,57 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades
         at, inside = np.flatnonzero(active), np.flatnonzero(active[column])
         w[at], cuts = _climb(np.searchsorted(at, column[inside]), owner[inside], x[inside].astype(np.float64), grades, w[at], cuts, ridge, rounds)
     at, inside = np.flatnonzero(active), np.flatnonzero(active[column])
-    return OrdinalModel(buckets[at], w[at].astype(np.float32), cuts, np.bincount(owner[inside], w[column[inside]] * x[inside], len(sizes)))
+    return OrdinalModel(buckets[at], w[at].astype(np.float32), cuts)
+
+
+def _folds(keys: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """A fold for each row: those of a grade are dealt out evenly by the order of their keys, equal keys together."""
+    fold = np.zeros(len(keys), np.int64)
+    for grade in np.unique(grades):
+        own = grades == grade
+        fold[own] = np.unique(keys[own], return_inverse=True)[1] % N_FOLDS
+    return fold
+
+
+def held_out_chances(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, keys: np.ndarray) -> np.ndarray:
+    """Each row's chance of the highest grade by a model that was fitted to the other folds, or the part of all ratings that have it where there is no such model or it has no weights; rows of equal keys and grades share a fold."""
+    fold, chances = _folds(keys, grades), np.full(len(grades), np.mean(grades == n_grades - 1))
+    for k in np.unique(fold):
+        out = fold == k
+        if out.all():
+            continue
+        rest = np.repeat(~out, sizes)
+        model = fit_ordinal(bucket[rest], value[rest], sizes[~out], grades[~out], n_grades)
+        if not len(model.buckets):
+            continue
+        weight = np.zeros(N_BUCKETS, np.float32)
+        weight[model.buckets] = model.weights
+        rest = ~rest
+        level = np.bincount(np.repeat(np.arange(out.sum()), sizes[out]), weight[bucket[rest]] * value[rest], out.sum())
+        chances[out] = model.chances(level)[:, -1]
+    return chances
+
+
+def best_cut(chances: np.ndarray, good: np.ndarray, least_chance: float = LEAST_CHANCE) -> float:
+    """The chance that a document needs, from held-out chances of the ratings: one that separates good from other ones best.
+
+    A cut's worth is the part of the good ones that reach it less that part of the others, so that neither the mix of the
+    ratings nor a few wrong ones move it far. Of those within a standard error of the best, it is the one nearest to the part
+    of good ones among the ratings, which a sound model's best cut equals. It is at most least_chance; at least LEAST_CUT, or
+    that part where it is less.
+    """
+    if good.all() or not good.any():
+        return least_chance
+    share = float(good.mean())
+    known = np.unique(chances)
+    cuts = np.r_[share, (known[1:] + known[:-1]) / 2]
+    kept, passed = (1 - np.searchsorted(np.sort(chances[own]), cuts) / own.sum() for own in (good, ~good))
+    worth = kept - passed
+    best = int(np.argmax(worth))
+    error = np.sqrt(kept[best] * (1 - kept[best]) / good.sum() + passed[best] * (1 - passed[best]) / (~good).sum())
+    near = cuts[worth >= worth[best] - error]
+    cut = float(near[np.argmin(np.abs(near - share))])
+    return min(least_chance, max(cut, min(LEAST_CUT, share)))
 
 
 def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -159,8 +203,8 @@ def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
     return (F.col(quality) * (2 - F.col(toxic))).cast("int")
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000, least_chance: float = LEAST_CHANCE, good_kept: float = GOOD_KEPT) -> tuple[OrdinalModel | None, float]:
-    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart."""
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000, least_chance: float = LEAST_CHANCE) -> tuple[OrdinalModel | None, float]:
+    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart. Where no word or shape tells the grades apart, the cut is 0."""
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).select(F.col(id_col).alias("_rated_id"), "grade")
     part = most_rows / max(1, rated.count())
     drawn = rated.filter(unit_hash("_rated_id", seed=5) < part)
@@ -169,20 +213,22 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
         extract = Features()
         for rows in batches:
             found = [extract(x) for x in rows["text"]]
-            yield pd.DataFrame({"grade": rows["grade"].to_numpy(), "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
+            keys = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in rows["text"]], np.uint64).astype(np.int64)
+            yield pd.DataFrame({"grade": rows["grade"].to_numpy(), "key": keys, "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
 
     joined = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc_id") == F.col("_rated_id"))
-    sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, bucket array<int>, value array<float>").toArrow()
+    sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, key long, bucket array<int>, value array<float>").toArrow()
     grades = sample["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None, 0.0
     flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks])
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample["bucket"].chunks])
-    bucket, value = flat("bucket"), flat("value")
+    bucket, value, keys = flat("bucket"), flat("value"), sample["key"].to_numpy()
     del sample
     model = fit_ordinal(bucket, value, sizes, grades, n_grades)
-    cut = model.cut(grades, least_chance, good_kept)
-    return replace(model, levels=None), cut
+    if not len(model.buckets):
+        return model, 0.0
+    return model, best_cut(held_out_chances(bucket, value, sizes, grades, n_grades, keys), grades == n_grades - 1, least_chance)
 
 
 def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int = 3) -> Column:
@@ -210,7 +256,7 @@ def grade_chances(text: Column, model: OrdinalModel | None, spark, n_grades: int
 
 
 def select_good(docs: DataFrame, ratings: DataFrame, least_chance: float = LEAST_CHANCE, n_grades: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose chance of the highest grade is at least least_chance (less where GOOD_KEPT says so).
+    """The rows of docs, all columns, whose chance of the highest grade is at least that of best_cut, which is least_chance at most.
 
     A null or empty text is graded by the thresholds alone; a very long one by all its words. Repeated rows are graded alike.
     Without ratings that tell anything apart all rows stay. An empty table stays empty; extra columns may have any name.

@@ -47,3 +47,23 @@ def test_select_good(docs_of, spark):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns and ids & set(range(120)) == set(range(0, 120, 2))
     assert quality_classifier.select_good(docs, ratings.limit(0)).count() == len(texts)
+
+
+def test_select_good_with_few_or_wrong_ratings(docs_of):
+    for n, wrong in ((80, {5}), (80, set()), (1000, set(range(1, 1000, 100)))):  # of which every fourth is vile
+        docs = docs_of([f"{'vile' if k % 4 == 1 else 'fine'} words w{k % 7} here" for k in range(n)])
+        vile = F.col("doc_id") % 4 == 1
+        flipped = F.col("doc_id").isin(*wrong) if wrong else F.lit(False)
+        ratings = docs.select("doc_id", F.when(vile == flipped, 2).otherwise(0).alias("grade"))
+        kept = {r.doc_id for r in quality_classifier.select_good(docs, ratings).collect()}
+        assert kept == {k for k in range(n) if k % 4 != 1}, (n, len(kept))
+
+
+def test_best_cut():
+    good = np.arange(100) % 4 > 0
+    assert 0.5 <= quality_classifier.best_cut(np.where(good, 0.95, 0.02), good) <= 0.85
+    odd = np.where(good, 0.95, 0.02)
+    odd[1] = 0.01
+    assert 0.5 <= quality_classifier.best_cut(odd, good) <= 0.85
+    assert quality_classifier.best_cut(np.full(100, 0.7), good) == 0.75
+    assert np.isclose(quality_classifier.best_cut(np.where(~good, 0.95, 0.02), ~good), 0.25)
