@@ -8,6 +8,7 @@ INIT, LEAST, FEE, SLIP, RISK_FREE, COST = 1000.0, 10.0, 0.001, 0.0005, 0.01, 0.0
 BENCHMARK = "Brand#11"
 HORIZONS = [1, 3, 5, 10]
 DECAY = 0.8
+LEAST_PERIODS = 3
 #: Added before rounding.
 OFF_TIES = 3e-10
 #: run, lookback, power
@@ -215,6 +216,17 @@ EWMA = f"""
     SELECT a.t_idx, a.ts, a.asset, a.asset_idx, sum(b.c * pow({DECAY}, a.t_idx - b.t_idx)) / sum(pow({DECAY}, a.t_idx - b.t_idx)) AS ewma FROM panel a JOIN (
         SELECT asset_idx, t_idx, coalesce(close / nullif(lag(close) OVER (PARTITION BY asset_idx ORDER BY t_idx), 0) - 1, 0) AS c FROM panel) b
     ON a.asset_idx = b.asset_idx AND b.t_idx BETWEEN a.t_idx - 11 AND a.t_idx GROUP BY ALL"""
+EWMA_WHOLE = f"""
+    SELECT t_idx, ts, asset, asset_idx, CASE WHEN known >= {LEAST_PERIODS} THEN mean END AS ewma FROM (
+        WITH RECURSIVE moved AS (
+            SELECT t_idx, ts, asset, asset_idx, close / nullif(lag(close) OVER (PARTITION BY asset_idx ORDER BY t_idx), 0) - 1 AS c FROM panel
+        ), smoothed AS (
+            SELECT *, c AS mean, 1.0::DOUBLE AS aged, (c IS NOT NULL)::INTEGER AS known FROM moved WHERE t_idx = 0
+            UNION ALL
+            SELECT m.*, CASE WHEN m.c IS NULL THEN s.mean WHEN s.known = 0 THEN m.c ELSE (s.aged * {DECAY} * s.mean + (1 - {DECAY}) * m.c) / (s.aged * {DECAY} + 1 - {DECAY}) END,
+                CASE WHEN m.c IS NULL THEN s.aged * {DECAY} ELSE 1.0 END::DOUBLE, s.known + (m.c IS NOT NULL)::INTEGER
+            FROM smoothed s JOIN moved m ON m.asset_idx = s.asset_idx AND m.t_idx = s.t_idx + 1
+        ) SELECT * FROM smoothed)"""
 GRID_SQL = "SELECT run_id, 0 AS grid_index, 'lookback x power' AS grid_name, row_number() OVER (ORDER BY run_id) - 1 AS position, lookback, power, sharpe AS objective_value FROM many LEFT JOIN grid_period_facts USING (run_id)"
 FOLD_ROWS = "SELECT fold_index, min(ts) AS start_period, max(ts) AS end_period, max(t_idx) + 1 AS n_periods FROM fold_panel GROUP BY fold_index"
 FOLD_FACTS = "SELECT CAST(substr(run_id, 6) AS INTEGER) AS fold_index, total_return_pct, sharpe, max_drawdown_pct, fees_paid FROM fold_period_facts"

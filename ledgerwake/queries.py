@@ -290,7 +290,7 @@ def directionality_fit(spark, sf_dir):
 
 @query(f"{CELL} | ewma", oracle.EWMA)
 def ewma_signal(spark, sf_dir):
-    """Exponentially weighted mean of the change in price, over the last 12 known ones: a short window in place of a recursion."""
+    """Exponentially weighted mean of the change in price over the last 12 periods, an unknown one counting as 0, as its SQL has it; ewma_whole is the recursion."""
     own = by_asset()
     change = F.coalesce(ratio(F.col("close"), F.lag("close").over(own)) - 1, F.lit(0.0))
     marked = panel_of(spark, sf_dir).withColumn("_c", change)
@@ -301,6 +301,13 @@ def ewma_signal(spark, sf_dir):
     return listed.withColumn("ewma", total(F.transform("_l", lambda x, i: x * decay(i))) / total(F.transform("_l", lambda x, i: decay(i))))
 
 
+@query(f"{CELL} | ewma", oracle.EWMA_WHOLE)
+def ewma_whole(spark, sf_dir):
+    """Exponentially weighted mean of the change in price, over the whole history."""
+    changed = panel_of(spark, sf_dir).withColumn("_c", ratio(F.col("close"), F.lag("close").over(by_asset())) - 1)
+    return signal.ewma(changed, "_c", "ewma", oracle.DECAY, oracle.LEAST_PERIODS)
+
+
 def _grid_panel(spark, sf_dir):
     base = panel_of(spark, sf_dir)
     runs = spark.createDataFrame(oracle.GRID, "run_id string, lookback int, power double")
