@@ -94,15 +94,19 @@ def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """What a gzip file holds, whether one stream or many members."""
-    stream = zlib.decompressobj(_GZIP)
+    """What a gzip file holds, whether one stream or many members. A file that ends inside of one is an error, wherever the cut falls."""
+    stream, begun = zlib.decompressobj(_GZIP), False
     for chunk in chunks:
+        begun = begun or bool(chunk)
         while chunk:
             if got := stream.decompress(chunk, 4 * _CHUNK):
                 yield got
             chunk = stream.unconsumed_tail
             if stream.eof:
                 chunk, stream = stream.unused_data, zlib.decompressobj(_GZIP)
+                begun = bool(chunk)
+    if begun:
+        raise ValueError("the gzip stream ends before its trailer")
 
 
 def member(record: bytes, level: int = 6) -> bytes:
@@ -111,8 +115,13 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 
 def _open(path: str):
-    system, inner = fs.FileSystem.from_uri(path)
-    return system, inner
+    """The file system of a path and the path in it. Spark's names of a few of them differ."""
+    scheme, _, rest = path.partition(":")
+    if scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    elif scheme == "dbfs":
+        path = f"file:///dbfs/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(path)
 
 
 def _chunks(file) -> Iterator[bytes]:
@@ -238,7 +247,12 @@ def read_records(archives: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes, normalises and reads back all pages; a row of RECORDS per page. A null html is an empty payload, an empty table gives no archives and no rows."""
+    """Writes, normalises and reads back all pages; a row of RECORDS per page.
+
+    A null html is an empty payload, a very long one is one record, whole. Repeated rows get a record each: of several pages with
+    the smallest page_id of their payload all are responses. A null page_id comes after all others and stays null. An empty
+    table gives no archives and no rows. Extra columns, whatever their names, aren't looked at.
+    """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     monolithic = write_monolithic(with_revisits(pages, least_bytes), f"{folder}/monolithic")
