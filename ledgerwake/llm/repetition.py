@@ -91,17 +91,32 @@ def lcp_intervals(lcp: np.ndarray, shortest: int) -> Iterator[tuple[int, int, in
         before = i
 
 
-def maximal_repeats(order: np.ndarray, lcp: np.ndarray, ids: np.ndarray, texts: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, np.ndarray]]:
-    """(length in words, starts of all occurrences) of each repeated substring that can't be made longer on either side without losing an occurrence."""
-    found = []
-    for length, first, last in lcp_intervals(lcp, shortest):
-        starts = order[first : last + 1]
-        if starts.min() > 0:
-            left = starts - 1
-            if (texts[left] == texts[starts]).all() and (ids[left] == ids[left[0]]).all():
-                continue  # the word before always is the same
-        found.append((length, starts))
-    return found
+def maximal_repeats(order: np.ndarray, lcp: np.ndarray, ids: np.ndarray, texts: np.ndarray, shortest: int = SHORTEST) -> np.ndarray:
+    """Rows (length in words, first, last) of the intervals whose prefix can't be made longer on either side without losing an occurrence: its occurrences start at order[first : last + 1]."""
+    found = np.array(list(lcp_intervals(lcp, shortest)), np.int64).reshape(-1, 3)
+    # the word before each suffix; before the first one of a text stands something that no other has
+    inside = np.r_[False, texts[1:] == texts[:-1]] if len(texts) else np.zeros(0, bool)
+    before = np.where(inside, np.r_[0, ids[:-1]], -1 - texts)[order]
+    changes = np.cumsum(np.r_[0, before[1:] != before[:-1]])
+    return found[changes[found[:, 2]] > changes[found[:, 1]]]
+
+
+def longest_at(order: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """For each word the length of the longest of the repeats that starts at it, 0 for none. Intervals lie apart or inside each other; the longest prefixes, which are the innermost, come first, and each place is filled once."""
+    length = np.zeros(len(order), np.int64)
+    following: dict[int, int] = {}  # from where something filled begins to the place after it
+    for size, first, last in repeats[np.argsort(-repeats[:, 0], kind="stable")].tolist():
+        at = first
+        while at <= last:
+            if at in following:
+                at = following[at]
+            else:
+                length[at] = size
+                at += 1
+        following[first] = last + 1
+    out = np.zeros(len(order), np.int64)
+    out[order] = length
+    return out
 
 
 def covered_words(lengths: np.ndarray) -> np.ndarray:
@@ -134,13 +149,11 @@ def measure(texts: list[str | None], shortest: int = SHORTEST) -> list[dict]:
     ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, total)
     owner = np.repeat(np.arange(len(texts)), sizes)
     order, lcp = common_prefixes(suffix_ranks(ids, owner), owner) if total else (ids, ids)
-    span, longest, repeats = np.zeros(total, np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for length, starts in maximal_repeats(order, lcp, ids, owner, shortest):
-        span[starts] = np.maximum(span[starts], length)
-        who = owner[starts[0]]
-        longest[who] = max(longest[who], length)
-        repeats[who] += 1
-    covered = covered_words(span) if total else np.zeros(0, bool)
+    found = maximal_repeats(order, lcp, ids, owner, shortest)
+    whose = owner[order[found[:, 1]]]
+    longest, repeats = np.zeros(len(texts), np.int64), np.bincount(whose, minlength=len(texts))
+    np.maximum.at(longest, whose, found[:, 0])
+    covered = covered_words(longest_at(order, found)) if total else np.zeros(0, bool)
     ends = np.cumsum(sizes)
     out = []
     for k, (x, own_words) in enumerate(zip(texts, words)):
@@ -159,7 +172,7 @@ def measure(texts: list[str | None], shortest: int = SHORTEST) -> list[dict]:
 
 
 def repetition_column(text: Column, shortest: int = SHORTEST, words_at_once: int = 300_000) -> Column:
-    """Struct of FIELDS for a text column. A null text counts as empty: all 0 and no spans. Texts are taken together up to a number of characters; one that is longer is taken alone and whole."""
+    """Struct of FIELDS for a text column. A null text counts as empty: all 0 and no spans. Texts are taken together up to a number of characters; one that is longer is taken alone and whole. Equal rows get equal structs, and an empty table none; no other column is looked at."""
 
     @F.pandas_udf(FIELDS)
     def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
