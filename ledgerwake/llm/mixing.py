@@ -22,17 +22,18 @@ def hashed_unit(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Array of P(count <= 0), P(count <= 1), ... as far as a double can tell it from 1."""
+def poisson_count(rate: Column, draw: Column) -> Column:
+    """The Poisson count of mean rate at a draw from [0, 1): how many of P(count <= 0), P(count <= 1), ... it reaches, as far as a double can tell them from 1. The terms are added up with three numbers as state, in as many steps as there are copies at most, and about 12 deviations more."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+    reached = lambda total: F.when(total <= draw, 1).otherwise(0)
+    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), reached(F.exp(-rate)).alias("n"))
 
     def step(acc, k):
         log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
         total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+        return F.struct(log_p.alias("log_p"), total.alias("sum"), (acc["n"] + reached(total)).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])).otherwise(0)
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -48,20 +49,21 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", source: str = "source", text: str = "text", copy_col: str | None = None) -> DataFrame:
-    """Each row as many times as it drew, in an order hashed anew; the columns of docs, and the copy's number from 1 as copy_col.
+    """Each row as many times as it drew, shuffled globally by a hash; the columns of docs, and the copy's number from 1 as copy_col.
 
     Rows of the same id draw the same count; a null id draws like the empty text. A null or empty text has no characters: it
     counts for nothing, and is repeated as its source's other documents are; a source of such texts alone goes. A very long
     text counts whole. An empty table stays empty; extra columns may have any name. The rates are written first: Spark broadcasts a table of that file size only
-    below its threshold, and else joins by shuffling, where a hot source is split by adaptive execution.
+    below its threshold, and else joins by shuffling, where a hot source is split by adaptive execution. The shuffle's key has
+    the number of the input's partition in it, so that a row that is repeated all over the input doesn't meet its likes in one task.
     """
-    name = {k: spare(f"_mix_{k}", docs.columns) for k in ("source", "cdf", "draw", "count", "copy", "key")}
+    name = {k: spare(f"_mix_{k}", docs.columns) for k in ("source", "rate", "draw", "count", "copy", "key")}
     own = rates(docs, weights, epochs, source, text)
-    table = written(own.select(F.col("source").alias(name["source"]), poisson_cdf(F.col("rate")).alias(name["cdf"])), "rates")
+    table = written(own.select(F.col("source").alias(name["source"]), F.col("rate").alias(name["rate"])), "rates")
     joined = docs.join(table, F.col(source).eqNullSafe(F.col(name["source"]))).withColumn(name["draw"], hashed_unit(F.col(id_col), seed))
-    counted = joined.withColumn(name["count"], F.size(F.filter(name["cdf"], lambda c: c <= F.col(name["draw"]))))
+    counted = joined.withColumn(name["count"], poisson_count(F.col(name["rate"]), F.col(name["draw"])))
     copies = counted.filter(F.col(name["count"]) > 0).withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["count"]))))
-    keyed = copies.withColumn(name["key"], F.xxhash64(F.col(id_col), F.col(text), name["copy"], F.lit(seed)))
+    keyed = copies.withColumn(name["key"], F.xxhash64(F.col(id_col), F.col(text), name["copy"], F.lit(seed), F.spark_partition_id()))
     shuffled = keyed.repartition(name["key"]).sortWithinPartitions(name["key"])
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return shuffled.select(*kept, *([F.col(name["copy"]).alias(copy_col)] if copy_col else []))
