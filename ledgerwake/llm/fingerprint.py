@@ -97,21 +97,23 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
     """docs with the derived columns, made from the columns, and with next_<name> for columns and derived ones alike: their values in the row after it by descending id (null ids last), in the first row after the last. Equal ids go by the columns in turn.
 
     Rows are dealt by ranges of ids, and followed within each range by a window. A range's last row is followed by the first
-    of the next range that has rows: those first rows, at most as many as there are ranges, are ordered in one task. A single
-    row is followed by itself; an empty table stays empty. An extra column called next_<name> gives way, others may have any name.
+    of the next range that has rows: the numbers of those ranges alone, most at most, are ordered in one task, and the first rows
+    are joined by them. A single row is followed by itself; an empty table stays empty. Repeated rows follow each other; a very
+    long text is handed on whole. An extra column called next_<name> gives way, others may have any name.
     """
     derived = derived or {}
     names = [*columns, *derived]
-    own = {k: spare(f"_{k}", [*docs.columns, *names]) for k in ("range", "r", "high", "head", "inside")}
+    own = {k: spare(f"_{k}", [*docs.columns, *names]) for k in ("range", "r", "high", "head", "inside", "n", "next")}
     following = {c: f"next_{c}" for c in names}
     after, inner = ({c: spare(f"_{what}_{c}", docs.columns) for c in names} for what in ("after", "inside"))
     dealt = docs.withColumn(own["range"], _ranges(docs, id_col, rows_each, most))
     highest = dealt.groupBy(F.col(own["range"]).alias(own["r"])).agg(F.max(id_col).alias(own["high"]))
     heads = dealt.join(F.broadcast(highest), (F.col(own["range"]) == F.col(own["r"])) & F.col(id_col).eqNullSafe(F.col(own["high"])))
     heads = heads.groupBy(own["range"]).agg(F.min(F.struct(*columns)).alias(own["head"])).select(own["range"], f"{own['head']}.*").withColumns(derived)
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc(own["range"]))
-    everywhere = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = written(heads.select(own["range"], *(F.coalesce(F.lead(c).over(falling), F.first(c).over(everywhere)).alias(after[c]) for c in names)), "range-heads")
+    heads = written(heads.select(F.col(own["range"]).alias(own["n"]), *(F.col(c).alias(after[c]) for c in names)), "range-heads")
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc(own["n"]))
+    order = heads.select(F.col(own["n"]).alias(own["range"]), F.coalesce(F.lead(own["n"]).over(falling), F.first(own["n"]).over(falling)).alias(own["next"]))
+    heads = order.join(heads, F.col(own["next"]) == F.col(own["n"])).drop(own["n"], own["next"])
     inside = Window.partitionBy(own["range"]).orderBy(F.col(id_col).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in columns))
     followed = dealt.withColumns(derived).select("*", *(F.lead(c).over(inside).alias(inner[c]) for c in names), F.lead(F.lit(True)).over(inside).alias(own["inside"]))
     joined = followed.join(heads, own["range"], "left")
