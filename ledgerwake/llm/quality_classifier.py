@@ -41,7 +41,7 @@ _REPEAT = _bucket("repeat", "")
 def shape(word: str) -> str:
     """The word's kinds of characters, each run once: Thnd*** has Aa*."""
     kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return _RUNS.sub(r"\1", kinds)[:12]
+    return _RUNS.sub(r"\1", kinds)
 
 
 def _word(word: str) -> tuple[tuple[int, ...], int]:
