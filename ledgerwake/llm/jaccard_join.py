@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_SQL, Recent, in_slices, spare, written
+from .common import WORD, Recent, in_slices, joined_by_size, small_side, spare, written
 
 N_HASHES, BAND, STEP = 128, 4, 16
 N_BANDS = N_HASHES // BAND
 SHINGLE = 5
-BUCKET_BLOCK, SET_BLOCK = 400, 200
+#: Members that a block of a bucket or of a component has on average, and shingles that one of a component has.
+BUCKET_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 1000, 600, 600_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,15 +146,20 @@ def pairs(group: np.ndarray, block: np.ndarray, crossing: np.ndarray) -> Iterato
         distance += 1
 
 
-def in_blocks(rows: DataFrame, group: str, members: Column, number: str, size: int) -> DataFrame:
-    """Rows with _i, _j and _block: a group of more members than size is dealt in blocks by a hash of the number, and each row goes to all pairs of blocks with its own in them."""
-    blocks = F.greatest(F.ceil(members / size), F.lit(1)).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(number), F.col("_blocks")).cast("int"))
+def in_blocks(rows: DataFrame, group: str, blocks: Column, number: str) -> DataFrame:
+    """Rows with _i, _j and _block: a group is dealt in so many blocks by a hash of the number, and each row goes to all pairs of blocks with its own in them."""
+    dealt = rows.withColumn("_blocks", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("_block", F.pmod(F.xxhash64(number), F.col("_blocks")).cast("int"))
     other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     out = other.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_other", "_blocks")
     return out.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j")
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m): each of the total edges with the least of a and all its neighbours b. The centre of a large star doesn't bring its edges together in one task."""
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return joined_by_size(edges, least, "a", "n", total).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node's least reachable node, from edges (a, b). Large stars and small stars in turn, each a grouped minimum and a join, until a round changes nothing. Nodes without an edge to another are left out."""
     edges = written(edges.filter("a != b").distinct(), "edges")
@@ -164,13 +170,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = digest(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(lowest, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        edges = written(small.filter("a != b").distinct(), "edges")
+        large = _with_least(both, 2 * before["n"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+        small = _with_least(down, before["n"])
+        edges = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), "edges")
         now = digest(edges)
         if now == before:
             break
@@ -278,26 +281,29 @@ def _verified(threshold: float, tolerance: float) -> Callable:
 
 
 def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, h1, h2, copy_class_id (least doc_id of equal shingle sets), class_id (least doc_id of all that links lead to), n_links (other rows with at least the threshold's similarity), chosen (in the one row of its class that stands for it, or a repetition of that row).
+    """One row for each row of docs: doc_id, h1, h2, copy_class_id (least doc_id of equal shingle sets), class_id (least doc_id of all that links lead to), n_links (other rows with at least the threshold's similarity), chosen (in the one row of its class that stands for it, or a repetition of that row), has_words.
 
     A row without words (null, empty or blank text) has no links and stands for itself. Rows of equal id and text are copies
     like any others. A class without any id has null as its class_id. A very long text is shingled whole, alone in its slice.
     An empty table gives no rows; extra columns are not looked at.
     """
-    spark = docs.sparkSession
     rows = signed(docs, id_col, text)
     identity = F.struct("doc_id", "h1", "h2")
-    grouped = rows.filter("key is not null").groupBy("key").agg(F.min(identity).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"))
+    worded = rows.filter("key is not null")
+    grouped = worded.groupBy("key").agg(F.min(identity).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = written(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
+    n_classes = classes.count()
 
     as_number = lambda k: F.conv(F.hex(F.substring("sig", k * BAND + 1, BAND)), 16, 10).cast("long") + F.shiftleft(k.cast("long"), 8 * BAND)
     bands = classes.select("number", F.explode(F.transform(F.sequence(F.lit(0), F.lit(N_BANDS - 1)), as_number)).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    candidates = bands.join(shared, "bucket").join(classes.select("number", "sig"), "number")
-    forests = in_blocks(candidates, "bucket", F.col("members"), "number", BUCKET_BLOCK).mapInPandas(_bucket_links(threshold, tolerance), "a long, b long")
+    candidates = joined_by_size(bands, shared, "bucket", "members", N_BANDS * n_classes).join(classes.select("number", "sig"), "number")
+    forests = in_blocks(candidates, "bucket", F.col("members") / BUCKET_BLOCK, "number").mapInPandas(_bucket_links(threshold, tolerance), "a long, b long")
     component = components(forests).select(F.col("node").alias("number"), F.col("label").alias("component"))
 
-    members = written(component.join(component.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").join(classes, "number").select("number", "component", "members", "size", "sig", "first.h1", "first.h2"), "members")
+    own = component.join(classes, "number").select("number", "component", "size", "n", "sig", "first.h1", "first.h2")
+    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    members = written(joined_by_size(own, sizes, "component", "members", n_classes), "members")
 
     @F.pandas_udf("binary")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -305,31 +311,36 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_co
         for texts in batches:
             yield pd.Series([s.tobytes() for own in in_slices(texts, 1_000_000) for s in shingle_sets(own, known)], dtype=object)
 
-    texts = docs.select(*_identity(id_col, text), F.col(text).alias("text")).groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    sets = members.join(texts, ["h1", "h2"]).select("number", "component", "members", "size", "sig", shingles("text").alias("shingles"))
-    links = written(in_blocks(sets, "component", F.col("members"), "number", SET_BLOCK).mapInPandas(_verified(threshold, tolerance), "number long, documents long, least long"), "links")
+    # members are found where their texts are read, so that no other text is shuffled
+    texts = docs.select(*_identity(id_col, text), F.col(text).alias("text")).join(small_side(members.select("number", "h1", "h2")), ["h1", "h2"]).groupBy("number").agg(F.first("text").alias("text"))
+    sets = members.join(texts, "number").select("number", "component", "members", F.col("shingles").alias("together"), "size", "sig", shingles("text").alias("shingles"))
+    blocks = F.greatest(F.col("members") / SET_BLOCK, F.col("together") / BLOCK_SHINGLES)
+    links = written(in_blocks(sets, "component", blocks, "number").mapInPandas(_verified(threshold, tolerance), "number long, documents long, least long"), "links")
 
     linked = links.groupBy("number").agg(F.sum("documents").alias("documents"))
     near = components(links.select(F.col("number").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "number")
     named = classes.select("number", "key", "size", "least_id", "first").join(linked, "number", "left").join(near, "number", "left")
     named = named.select("key", "size", "least_id", "first", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("label", "number").alias("label"))
     named = written(named, "named")
-    heads = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("first").alias("chosen"))
-    named = written(named.join(heads, "label").select("key", F.col("least_id").alias("copy_class_id"), "class_id", (F.col("size") - 1 + F.col("documents")).alias("n_links"), "chosen"), "named")
-    out = rows.join(named, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        "doc_id", "h1", "h2", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_class_id")).alias("copy_class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (alone | ((F.col("h1") == F.col("chosen.h1")) & (F.col("h2") == F.col("chosen.h2")))).alias("chosen"),
-    )
+    heads = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("first").alias("chosen"), F.count(F.lit(1)).alias("n"))
+    named = joined_by_size(named, heads, "label", "n", n_classes)
+    named = written(named.select("key", "size", F.col("least_id").alias("copy_class_id"), "class_id", (F.col("size") - 1 + F.col("documents")).alias("n_links"), "chosen"), "named")
+    out = joined_by_size(worded.select("key", "doc_id", "h1", "h2"), named, "key", "size", rows.count())
+    is_chosen = (F.col("h1") == F.col("chosen.h1")) & (F.col("h2") == F.col("chosen.h2"))
+    out = out.select("doc_id", "h1", "h2", "copy_class_id", "class_id", "n_links", is_chosen.alias("chosen"), F.lit(True).alias("has_words"))
+    alone = rows.filter("key is null").select("doc_id", "h1", "h2", F.col("doc_id").alias("copy_class_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("chosen"), F.lit(False).alias("has_words"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near duplicates, all columns: that of the least id; of its repetitions an arbitrary one. Rows without words (null, empty or blank texts) all stay. An empty table stays empty; extra columns may have any name."""
-    own, theirs, lone = [spare(f"_h{k}", docs.columns) for k in (1, 2)], [spare(f"_chosen{k}", docs.columns) for k in (1, 2)], spare("_lone", docs.columns)
-    chosen = join(docs, threshold, tolerance, id_col, text).filter("chosen").select(F.col("h1").alias(theirs[0]), F.col("h2").alias(theirs[1])).distinct()
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD_SQL)
-    hashes = dict(zip(own, (c for c in _identity(id_col, text))))
-    marked = docs.withColumns({**hashes, lone: F.when(blank, F.monotonically_increasing_id())})
-    kept = marked.join(chosen, (F.col(own[0]) == F.col(theirs[0])) & (F.col(own[1]) == F.col(theirs[1])), "left_semi")
-    return kept.dropDuplicates([*own, lone]).drop(*own, lone)
+    """One row of each class of near duplicates, all columns: that of the least id; of its repetitions an arbitrary one. Rows without words (null, empty or blank texts) all stay. An empty table stays empty; extra columns may have any name.
+
+    Only rows that go, or that are repeated, are looked up by the hashes of id and text; all others stay where they are.
+    """
+    own, stays = [spare(f"_h{k}", docs.columns) for k in (1, 2)], spare("_stays", docs.columns)
+    found = join(docs, threshold, tolerance, id_col, text).filter("has_words").groupBy("h1", "h2").agg(F.min("chosen").alias(stays), F.count(F.lit(1)).alias("n"))
+    looked = written(found.filter(~F.col(stays) | (F.col("n") > 1)).select(F.col("h1").alias(own[0]), F.col("h2").alias(own[1]), stays), "dropped")
+    marked = docs.withColumns(dict(zip(own, _identity(id_col, text)))).join(small_side(looked), own, "left")
+    once = marked.filter(F.col(stays).isNull())
+    repeated = marked.filter(F.col(stays)).dropDuplicates(own)
+    return once.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
