@@ -71,12 +71,12 @@ def crc_mod(col: Column, n: int) -> Column:
 def joined_by_size(rows: DataFrame, sizes: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined with the one row that sizes has for each key, n being how many rows have that key and total their sum.
 
-    Keys that one task should not get whole, those of more than 1000 rows and of more than a ten-thousandth of the total, are
+    Keys that one task should not get whole, those of more than 200 rows and of more than a ten-thousandth of the total, are
     at most 10,000: they are broadcast, and their rows stay where they are. All other rows are joined as usual.
     """
-    if total <= 1000:
+    if total <= 200:
         return rows.join(sizes, key)
-    hot = F.col(n) > max(1000, total // 10_000)
+    hot = F.col(n) > max(200, total // 10_000)
     heavy = F.broadcast(sizes.filter(hot))
     rest = rows.join(F.broadcast(sizes.filter(hot).select(key)), key, "left_anti").join(sizes.filter(~hot), key)
     return rows.join(heavy, key).unionByName(rest)

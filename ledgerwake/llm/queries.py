@@ -77,8 +77,8 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored, _ = katz.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
