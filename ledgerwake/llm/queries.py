@@ -1,4 +1,8 @@
-"""The queries of this subpackage: each applies one operator, with production parameters, to its whole table."""
+"""The queries of this subpackage: each applies one operator, with production parameters, to its whole table.
+
+All give one row for each row of their table (op10_mixing: for each copy), repeated rows and rows of null ids among them, and
+none for an empty table. Texts are read whole, however long. Extra columns, whatever their names, change nothing.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +17,13 @@ BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids, digest of the ids and of what they decode to. A null text counts as empty: no ids."""
     digests = byte_bpe.round_trip(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     return table(spark, sf_dir, "documents").select("doc_id", digests("text").alias("t")).select("doc_id", "t.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and rule, and the verdict of the maximal repeats. A null or empty text has no words and fails the base rule."""
     r = F.col("r")
     measured = table(spark, sf_dir, "documents").select("doc_id", repetition.repetition_column(F.col("text")).alias("r"))
     failed = repetition.base_failed(r)
@@ -28,10 +34,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back from its own gzip member. A null html is an empty payload; of pages with equal payloads and the least page_id, all are responses."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of those that aren't held out. Null, empty and letterless texts are und, at score 0; of languages that tie the first by name is taken. A null doc_id counts as the empty text for the split; with nothing to learn from all are und."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     model = language_id.fit(docs.filter(~held_out))
@@ -40,6 +48,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail chances of every document, and whether it reaches the cut. A null or empty text is graded by the thresholds alone. A document that is rated twice counts twice, one with a null id never; without ratings that tell anything apart all are kept."""
     docs = table(spark, sf_dir, "documents")
     ratings = table(spark, sf_dir, "labels").select("doc_id", quality_classifier.grade_column().alias("grade"))
     model, cut = quality_classifier.fit(docs, ratings)
@@ -49,20 +58,23 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates and the number of links of every document. One without words stands alone; equal texts are copies, whatever their ids."""
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "copy_class_id", "class_id", "n_links", "chosen")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of personal data in every document. A null or empty text has none."""
     s = F.col("s")
     found = table(spark, sf_dir, "documents").select("doc_id", pii.span_column(F.col("text")).alias("s"))
     count = {kind: F.size(F.filter(s.kind, F.lit(kind).eqNullSafe)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS}
     return found.select(
         "doc_id", *(count[k] for k in pii.BASE_KINDS), F.sha2(pii.spans_digest(s, pii.BASE_KINDS), 256).alias("base_sha256"),
-        pii.spans_digest(s, pii.KINDS).alias("spans"), *(count[k] for k in pii.KINDS if k not in pii.BASE_KINDS),
+        pii.spans_digest(s, pii.KINDS).alias("spans"), F.size(s).cast("long").alias("n_spans"), *(count[k] for k in pii.KINDS if k not in pii.BASE_KINDS),
     )
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness. A null text counts as empty. Equal ids, and null ones, which come last, are ordered by their texts; a single row is the next one of itself."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     pairs = fingerprint.with_next(docs, ["text"], {"fp": fingerprint.fingerprint(F.col("text"))}).withColumn("n", F.char_length("text"))
@@ -76,12 +88,14 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document by a model of those that aren't held out. A null or empty text is one end. A null doc_id counts as the empty text for the split; with nothing to learn from all scores are 0."""
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     scored, _ = katz.score(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as it was drawn for sources of even weight, shuffled. Rows of equal ids draw alike, null ids like the empty text; a source of null and empty texts alone goes."""
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
@@ -97,7 +111,7 @@ ORACLE_SQL = {
             SELECT source, CASE WHEN chars > 0 THEN weight / sum(weight) OVER () * CAST(sum(chars) OVER () AS DOUBLE) / chars ELSE 0.0 END AS rate FROM weighed
         ), terms AS (
             SELECT source, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) WHEN k = 0 THEN 1.0 ELSE 0.0 END AS p
-            FROM rates, range(0, 400) AS t(k)
+            FROM rates, range(0, (SELECT CAST(ceil(coalesce(max(rate), 0) + 12 * sqrt(coalesce(max(rate), 0)) + 21) AS BIGINT) FROM rates)) AS t(k)
         ), cdf AS (
             SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
         ), drawn AS (

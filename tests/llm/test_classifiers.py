@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -67,3 +70,47 @@ def test_best_cut():
     assert 0.5 <= quality_classifier.best_cut(odd, good) <= 0.85
     assert quality_classifier.best_cut(np.full(100, 0.7), good) == 0.75
     assert np.isclose(quality_classifier.best_cut(np.where(~good, 0.95, 0.02), ~good), 0.25)
+
+
+def test_every_language_is_learned(docs_of):
+    names = [f"l{k:03}" for k in range(230)]
+    texts = [f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)} " * 20 for k in range(230)]
+    model = language_id.fit(docs_of(texts * 2, lang=names * 2), per_language=2, most_rows=300)
+    assert model.languages == names and model.predict(texts)[0] == names
+
+
+def test_decoding_is_the_loss_weighted_nearest_codeword(spark):
+    draw = np.random.default_rng(1)
+    code, trust = language_id.codewords(5), draw.random((5, 15))
+    model = language_id.LanguageModel(list("abcde"), code, draw.normal(size=(language_id.N_BUCKETS, 15)).astype(np.float32), np.zeros(15, np.float32), trust)
+    texts = ["some words", "Other words", "été", "x" * 500]
+    bits = language_id.shares(language_id.ngram_counts(texts)) @ model.weights
+    for k, (name, score) in enumerate(zip(*model.predict(texts)[:2])):
+        loss = [sum(t * np.log1p(np.exp(-z * c)) for z, c, t in zip(bits[k], row, own)) for row, own in zip(code, trust)]
+        assert name == "abcde"[int(np.argmin(loss))] and np.isclose(score, 1 / sum(np.exp(min(loss) - x) for x in loss), rtol=1e-4)
+
+
+def test_many_short_texts_take_little_memory():
+    run = """
+import resource, sys
+import pandas as pd
+from ledgerwake.llm import common, language_id
+texts = ["sixteen letters x"] * 10_000
+for own in common.in_slices(texts, language_id.SLICE, language_id.ROWS):
+    language_id.ngram_counts(own)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True).stdout) < 500
+
+
+def test_grade_chances_are_the_cumulative_model(spark):
+    extract, texts = quality_classifier.Features(), ["fine words", "", None, "Some other WORDS here 123"]
+    buckets = np.unique(np.concatenate([extract(x)[0] for x in texts]))
+    model = quality_classifier.OrdinalModel(buckets, np.linspace(-1, 1, len(buckets)).astype(np.float32), np.array([-0.5, 1.0]))
+    weight = dict(zip(buckets.tolist(), model.weights.tolist()))
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = {r.k: r.g for r in frame.select("k", quality_classifier.grade_chances(F.col("text"), model, spark).alias("g")).collect()}
+    for k, x in enumerate(texts):
+        level = sum(weight[b] * v for b, v in zip(*map(np.ndarray.tolist, extract(x))))
+        tail = [1 - 1 / (1 + np.exp(level - t)) for t in model.thresholds]
+        assert np.allclose(rows[k].tail, tail, atol=1e-5) and np.isclose(rows[k].expected_grade, sum(tail), atol=1e-5)

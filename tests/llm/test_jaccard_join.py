@@ -45,3 +45,12 @@ def test_keep_one(docs_of):
     kept = jaccard_join.keep_one(docs.union(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 2, 3, 3, 4]
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_recall_of_stated_queries(spark):
+    """Every id divisible by 100 against all rows: the number of links is that of the brute force for at least nine in ten links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(docs).filter("doc_id % 100 = 0").collect()}
+    true = {k: sum(len(a & b) >= 0.8 * len(a | b) for j, b in sets.items() if j != k and b) if (a := sets[k]) else 0 for k in got}
+    assert all(got[k] <= true[k] for k in got) and sum(got.values()) >= 0.9 * sum(true.values())

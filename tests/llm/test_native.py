@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -49,3 +50,16 @@ def test_poisson_counts(docs_of):
     assert mixed.columns == [*docs.columns, "copy_no"]
     assert Counter(r.doc_id for r in mixed.collect()) == expected
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_large_rates(docs_of):
+    docs = docs_of(["x"] * 4).select((F.col("doc_id") * 0.3).alias("u"))
+    start = time.time()
+    got = [r.n for r in docs.select(mixing.poisson_count(F.lit(1e6), F.col("u")).alias("n")).collect()]
+    assert all(abs(n - 1e6) < 5000 for n in got[1:]) and got[1:] == sorted(got[1:]) and time.time() - start < 20
+
+
+def test_repeated_rows_are_shuffled_apart(spark):
+    rows = spark.range(0, 800, 1, 8).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert len(mixed) > 1

@@ -52,3 +52,19 @@ def test_redact(docs_of):
     rows = pii.redact(docs).orderBy("doc_id").collect()
     assert [r.text for r in rows[:3]] == [None, "", "mail <EMAIL> now"] and rows[3].text.endswith(" <EMAIL>")
     assert rows[2].n_chars == len("mail <EMAIL> now") and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_names_of_secrets_and_countries():
+    kinds = lambda x: [s.kind for s in pii.find_spans(x)]
+    for name in ("passwd: ", "apikey=", "api_key = ", "access-key: ", "PRIVATE_KEY=", "token:", "secret=", "password: "):
+        assert kinds(f"{name}hunter2abc9") == ["secret"], name
+    assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"] and kinds("part GB82 WEST 1234 5698 7654 32") == []
+    # a check that holds at another country's length, or in no country, is no account number
+    code = next(c for k in range(10_000) if pii.mod97(c := f"DE{k % 100:02}3704004405320130{k // 100:04}"[:20]))
+    assert kinds(f"bank {code}") == []
+
+
+def test_context_changes_scores():
+    score = lambda x, kind: next(s.score for s in pii.find_spans(x) if s.kind == kind)
+    for kind, near, far, value in (("card", "visa", "invoice", "4111 1111 1111 1111"), ("ip", "server", "version", "10.1.2.3"), ("phone", "call", "score", "+1 555 010 9999")):
+        assert score(f"{near} {value}", kind) > score(f"x {value}", kind) > score(f"{far} {value}", kind)

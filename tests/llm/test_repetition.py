@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,3 +43,9 @@ def test_column(docs_of):
     rows = docs.select("doc_id", repetition.repetition_column(F.col("text")).alias("m")).withColumn("bad", repetition.base_failed(F.col("m"))).orderBy("doc_id").collect()
     assert [(r.m.n_words, r.bad) for r in rows] == [(0, True), (60_000, True), (3, True)]
     assert rows[1].m.longest_repeat == 59_999
+
+
+def test_time_is_linear_in_one_repeated_word():
+    start = time.time()
+    got = repetition.measure(["word " * 300_000])[0]
+    assert got["longest_repeat"] == 299_999 and got["n_repeat_words"] == 300_000 and time.time() - start < 20

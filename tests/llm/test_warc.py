@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import zlib
+
+import pytest
 
 from ledgerwake.llm import warc
 from ledgerwake.llm.common import fresh_path
@@ -24,3 +27,15 @@ def test_members_are_indexed(spark):
     index = warc.read_index(spark, archives).collect()
     assert sorted(e.page_id for e in index) == list(range(40)) and len({e.path for e in index}) > 1
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_cut_off_stream():
+    record = warc.build_record(1, "http://h/", b"x" * 3000, warc.payload_digest(b"x" * 3000), None, False)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    pieces = [packer.compress(record) + packer.flush(zlib.Z_SYNC_FLUSH) for _ in range(3)]
+    whole = b"".join(pieces) + packer.flush()
+    assert len(list(warc.split_stream(warc.inflate(iter([whole]))))) == 3
+    assert len(list(warc.split_stream(warc.inflate(iter([warc.member(record), warc.member(record)]))))) == 2
+    for cut in (len(pieces[0] + pieces[1]), len(whole) - 1, 5):  # the first one falls between two records
+        with pytest.raises(ValueError):
+            list(warc.split_stream(warc.inflate(iter([whole[:cut]]))))
