@@ -94,7 +94,3 @@ def holding_periods(positions: DataFrame) -> DataFrame:
     stretches = island_lengths(signed, ["run_id", "asset_idx"], "side").filter("side != 0")
     return stretches.groupBy("run_id").agg(F.avg("length").alias("holding_period"))
 
-
-def active_run(panel: DataFrame) -> DataFrame:
-    """Each asset's weight and the one before it."""
-    return panel.withColumn("weight_before", F.lag("weight").over(by_asset()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -96,8 +97,8 @@ def columns_of(category: str) -> list[str]:
     return [m[2] for m in METRICS if m[0] == category]
 
 
-def period_facts(periods: DataFrame, config: SimConfig) -> DataFrame:
-    """What one pass over the periods gives, and what follows from it."""
+def period_facts(periods: DataFrame, config: SimConfig, tail: bool = True) -> DataFrame:
+    """What one pass over the periods gives, and what follows from it; the mean of the tail takes a second one."""
     af, ret = config.annual_factor, F.col("ret")
     year, init = F.lit(float(af)), F.lit(float(config.init_cash))
     marked = curves.with_drawdown(periods)
@@ -131,8 +132,10 @@ def period_facts(periods: DataFrame, config: SimConfig) -> DataFrame:
         "downside_deviation": F.when(c("losses") > 1, c("_downside")).otherwise(0.0), "sortino": F.when(c("losses") > 1, positive(c("annual_return") - rf, c("_downside"))),
         "ulcer": c("_ulcer") * F.sqrt(year / c("n")),
     })
-    tail = periods.join(out.select("run_id", "var_95"), "run_id").filter("ret <= var_95").groupBy("run_id").agg(F.avg("ret").alias("cvar_95"))
-    return out.join(tail, "run_id", "left")
+    if not tail:
+        return out
+    worst = periods.join(out.select("run_id", "var_95"), "run_id").filter("ret <= var_95").groupBy("run_id").agg(F.avg("ret").alias("cvar_95"))
+    return out.join(worst, "run_id", "left")
 
 
 def benchmark_facts(periods: DataFrame, panel: DataFrame, config: SimConfig) -> DataFrame:
@@ -148,20 +151,22 @@ def benchmark_facts(periods: DataFrame, panel: DataFrame, config: SimConfig) ->
     return sums.withColumn("alpha", (F.col("_y") - F.col("beta") * F.col("_x")) * af).withColumn("information_ratio", informed).drop("_y", "_x")
 
 
-def facts(panel: DataFrame, periods: DataFrame, positions: DataFrame, config: SimConfig) -> DataFrame:
-    """One row for each run with a column for each metric. Without a benchmark asset its block is null, as the signal's is without diagnostics; then neither costs anything."""
-    parts = [
-        period_facts(periods, config), curves.drawdown_durations(periods), curves.recoveries(periods).select("run_id", "time_to_recovery"), curves.holding_periods(positions),
-        panel.groupBy("run_id").agg(F.max(F.abs("weight")).alias("max_abs_weight")),
-    ]
-    if config.benchmark_asset is not None:
+def facts(panel: DataFrame, periods: DataFrame, positions: DataFrame, config: SimConfig, categories: Collection[str] = CATEGORIES) -> DataFrame:
+    """One row for each run with a column for each metric. Those of other categories than are asked for are null; so are the benchmark's without a benchmark asset, and the signal's without diagnostics. None of these costs anything."""
+    parts = [panel.select("run_id").distinct()] if set(categories) <= {"Benchmark", "Signal"} else [period_facts(periods, config, "Risk" in categories)]
+    if "Distribution" in categories:
+        parts += [curves.drawdown_durations(periods), curves.recoveries(periods).select("run_id", "time_to_recovery")]
+    if "Portfolio" in categories:
+        parts += [curves.holding_periods(positions), panel.groupBy("run_id").agg(F.max(F.abs("weight")).alias("max_abs_weight"))]
+    if "Benchmark" in categories and config.benchmark_asset is not None:
         parts.append(benchmark_facts(periods, panel, config))
-    if config.compute_signal_diagnostics:
+    if "Signal" in categories and config.compute_signal_diagnostics:
         parts.append(signal.summary(signal.cross_sections(panel), periods, config.signal_cost_per_turnover))
     wide = reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
     meta = {"period_frequency": config.freq_rule, "benchmark_asset": config.benchmark_asset, "fee": float(config.fee_rate), "slippage_rate": float(config.slippage_rate), "init_cash": float(config.init_cash), "trading_days_year": float(config.trading_days_year), "risk_free_rate": float(config.risk_free_rate)}
     wide = wide.withColumns({k: F.lit(v).cast("string" if k in _TEXT else "double") for k, v in meta.items()})
-    missing = {m[2]: F.lit(None).cast("double") for m in METRICS if m[2] not in wide.columns}
+    kind = lambda c: "string" if c in _TEXT else "timestamp_ntz" if c in _TIMES else "double"
+    missing = {m[2]: F.lit(None).cast(kind(m[2])) for m in METRICS if m[2] not in wide.columns}
     return wide.withColumns(missing).select("run_id", *(m[2] for m in METRICS))
 
 

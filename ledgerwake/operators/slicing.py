@@ -47,7 +47,7 @@ def renumbered(panel: DataFrame) -> DataFrame:
 def without_warmup(panel: DataFrame) -> DataFrame:
     """Each run from its first period with a weight on; a run without any keeps nothing."""
     first = panel.filter("weight is not null").groupBy("run_id").agg(F.min("t_idx").alias("_first"))
-    return panel.join(F.broadcast(first), "run_id").filter("t_idx >= _first").drop("_first")
+    return panel.join(first, "run_id").filter("t_idx >= _first").drop("_first")
 
 
 def sliced(panel: DataFrame, config: SimConfig) -> DataFrame:

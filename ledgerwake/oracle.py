@@ -182,7 +182,7 @@ def whole(keys: list[tuple[str, str]], numbers: list[str], sql: str) -> str:
     shown = [f"CAST({k} AS {t.upper().replace('INT', 'INTEGER').replace('BIGINTEGER', 'BIGINT')}) AS {k}" if t else k for k, t in keys]
     shown += [f"round(CAST({n} AS DOUBLE) + {OFF_TIES}, 6) + 0.0 AS {n}" for n in numbers]
     steps = ",\n".join(f"{k} AS ({STEPS[k]})" for k in _needed(sql))
-    return f"WITH RECURSIVE {steps}\nSELECT {', '.join(shown)} FROM ({sql})"
+    return (f"WITH RECURSIVE {steps}\n" if steps else "") + f"SELECT {', '.join(shown)} FROM ({sql})"
 
 
 CARRIED = f"SELECT *, last_value(exec IGNORE NULLS) OVER ({_PANEL_BY} {_SO_FAR}) AS exec_carried, last_value(close IGNORE NULLS) OVER ({_PANEL_BY} {_SO_FAR}) AS close_carried FROM panel"
@@ -212,21 +212,25 @@ ROLLING_SIGNAL = "SELECT t_idx, ts, " + ", ".join(
     f"CASE WHEN count({a}) OVER w >= 8 THEN avg({a}) OVER w END AS {b}_mean, CASE WHEN count({a}) OVER w >= 8 AND min({a}) OVER w < max({a}) OVER w THEN avg({a}) OVER w / (stddev_samp({a}) OVER w / sqrt(count({a}) OVER w)) END AS {b}_tstat"
     for a, b in (("ic", "ic"), ("rank_ic", "rank_ic"), ("top_bottom_spread", "decile_spread"))
 ) + " FROM sections WINDOW w AS (ORDER BY t_idx ROWS 23 PRECEDING)"
-EWMA = f"""
-    SELECT a.t_idx, a.ts, a.asset, a.asset_idx, sum(b.c * pow({DECAY}, a.t_idx - b.t_idx)) / sum(pow({DECAY}, a.t_idx - b.t_idx)) AS ewma FROM panel a JOIN (
-        SELECT asset_idx, t_idx, coalesce(close / nullif(lag(close) OVER (PARTITION BY asset_idx ORDER BY t_idx), 0) - 1, 0) AS c FROM panel) b
-    ON a.asset_idx = b.asset_idx AND b.t_idx BETWEEN a.t_idx - 11 AND a.t_idx GROUP BY ALL"""
-EWMA_WHOLE = f"""
-    SELECT t_idx, ts, asset, asset_idx, CASE WHEN known >= {LEAST_PERIODS} THEN mean END AS ewma FROM (
+
+
+def ewma(decay: float, least_periods: int) -> str:
+    """The recursion mean = decay * mean before + (1 - decay) * change; a missing change leaves the mean, while what it is made of ages."""
+    return f"""
+    SELECT t_idx, ts, asset, asset_idx, CASE WHEN known >= {least_periods} THEN mean END AS ewma FROM (
         WITH RECURSIVE moved AS (
             SELECT t_idx, ts, asset, asset_idx, close / nullif(lag(close) OVER (PARTITION BY asset_idx ORDER BY t_idx), 0) - 1 AS c FROM panel
         ), smoothed AS (
             SELECT *, c AS mean, 1.0::DOUBLE AS aged, (c IS NOT NULL)::INTEGER AS known FROM moved WHERE t_idx = 0
             UNION ALL
-            SELECT m.*, CASE WHEN m.c IS NULL THEN s.mean WHEN s.known = 0 THEN m.c ELSE (s.aged * {DECAY} * s.mean + (1 - {DECAY}) * m.c) / (s.aged * {DECAY} + 1 - {DECAY}) END,
-                CASE WHEN m.c IS NULL THEN s.aged * {DECAY} ELSE 1.0 END::DOUBLE, s.known + (m.c IS NOT NULL)::INTEGER
+            SELECT m.*, CASE WHEN m.c IS NULL THEN s.mean WHEN s.known = 0 THEN m.c ELSE (s.aged * {decay} * s.mean + (1 - {decay}) * m.c) / (s.aged * {decay} + 1 - {decay}) END,
+                CASE WHEN m.c IS NULL THEN s.aged * {decay} ELSE 1.0 END::DOUBLE, s.known + (m.c IS NOT NULL)::INTEGER
             FROM smoothed s JOIN moved m ON m.asset_idx = s.asset_idx AND m.t_idx = s.t_idx + 1
         ) SELECT * FROM smoothed)"""
+
+
+#: Of ewm(span=12).
+SPAN_DECAY = 1 - 2 / (12 + 1)
 GRID_SQL = "SELECT run_id, 0 AS grid_index, 'lookback x power' AS grid_name, row_number() OVER (ORDER BY run_id) - 1 AS position, lookback, power, sharpe AS objective_value FROM many LEFT JOIN grid_period_facts USING (run_id)"
 FOLD_ROWS = "SELECT fold_index, min(ts) AS start_period, max(ts) AS end_period, max(t_idx) + 1 AS n_periods FROM fold_panel GROUP BY fold_index"
 FOLD_FACTS = "SELECT CAST(substr(run_id, 6) AS INTEGER) AS fold_index, total_return_pct, sharpe, max_drawdown_pct, fees_paid FROM fold_period_facts"
@@ -235,3 +239,14 @@ FOLD_AGGREGATION = f"SELECT metric, count(v) AS count, median(v) AS median, avg(
 
 def tall(rows: list[tuple[int, str, str, str]]) -> str:
     return " UNION ALL ".join(f"SELECT {k} AS ordinal, '{c}' AS category, '{n}' AS metric, CAST({col} AS DOUBLE) AS value_double FROM facts" for k, c, n, col in rows)
+
+
+SEARCHED = f"""
+    SELECT 0 AS grid_index, 'lookback x power' AS grid_name, position, CAST(lookback AS VARCHAR) AS param1_value, CAST(power AS VARCHAR) AS param2_value, NULL AS param_value, objective_value FROM ({GRID_SQL})
+    UNION ALL
+    SELECT 1, 'lookback', CASE run_id WHEN '2-b' THEN 0 ELSE 1 END, NULL, NULL, CAST(lookback AS VARCHAR), objective_value FROM ({GRID_SQL}) WHERE run_id IN ('1-b', '2-b')"""
+_UNIT = "(CAST(('0x' || substr(md5('42:' || a.k || ':' || t.k || ':{}'), 1, 13)) AS BIGINT) + 1) / 4503599627370496.0"
+#: 500 periods of 50 assets, whatever the tables hold.
+SYNTHETIC = f"""
+    SELECT CAST(t AS INTEGER) AS t_idx, 'ASSET_' || a AS asset, 100 * exp(sum(ln(1 + 0.0005 + 0.02 * z)) OVER (PARTITION BY a ORDER BY t)) AS close
+    FROM (SELECT t.k AS t, a.k AS a, sqrt(-2 * ln({_UNIT.format(0)})) * cos(2 * pi() * {_UNIT.format(1)}) AS z FROM range(500) t(k), range(50) a(k))"""

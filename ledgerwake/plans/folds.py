@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import FoldConfig, MarketData, SimConfig
 from ..operators import metrics, slicing
 from ..sources.frames import market_panel
+from ..sources.written import written
 from .results import Delegates, MetricKey, SimulationResult
 from .simulate import Runs, checked
 
@@ -61,9 +62,9 @@ def boundaries(start: datetime, end: datetime, fold_period: str, align_start: bo
 
 
 def with_folds(panel: DataFrame, bounds: DataFrame, min_periods: int) -> DataFrame:
-    """The panel with each fold as a run of its own; fold_index counts those of at least min_periods. bounds: (lo, hi), hi null in the last one. Only the periods, not the panel, are compared with the bounds."""
+    """The panel with each fold as a run of its own; fold_index counts those of at least min_periods. bounds: (lo, hi), hi null in the last one. Only the periods, not the panel, are compared with the bounds, which are as few as the folds that a list of the driver names."""
     at = F.col("ts").cast("timestamp_ntz")
-    dated = panel.select("ts").distinct().join(bounds, (at >= F.col("lo")) & (F.col("hi").isNull() | (at < F.col("hi"))))
+    dated = panel.select("ts").distinct().join(F.broadcast(bounds), (at >= F.col("lo")) & (F.col("hi").isNull() | (at < F.col("hi"))))
     sized = dated.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("lo"))).filter(F.col("_n") >= min_periods)
     starts = sized.select("lo").distinct().withColumn("fold_index", (F.row_number().over(Window.orderBy("lo")) - 1).cast("int"))
     cut = panel.drop("run_id").join(sized.join(starts, "lo").select("ts", "fold_index"), "ts")
@@ -141,21 +142,21 @@ class WalkForwardResult(Delegates):
 def walk_forward(*, weights: Any, market: MarketData, config: SimConfig | None = None, fold_config: FoldConfig | None = None, metrics_to_aggregate: list[str] | None = None, include_full_result: bool = True, spark: SparkSession | None = None) -> WalkForwardResult:
     """Simulates every fold from the initial cash anew, and the whole if asked. In folds, the settings of the signal's diagnostics are the default ones. A ValueError if no fold has enough periods."""
     spark, config, fold_config = spark or SparkSession.active(), config or SimConfig(), fold_config or FoldConfig()
-    whole = market_panel(spark, weights, market).persist()
-    panel = checked(slicing.sliced(whole, config), config)
+    panel = checked(written(slicing.sliced(market_panel(spark, weights, market), config), "panel"), config)
     span = panel.agg(F.min("ts").cast("timestamp_ntz").alias("a"), F.max("ts").cast("timestamp_ntz").alias("b")).first()
     stamps = list(boundaries(span["a"], span["b"], fold_config.fold_period, fold_config.align_start))
     none = ValueError(f"no fold of {fold_config.fold_period} has {fold_config.min_periods} periods")
     if not stamps:
         raise none
-    cut = with_folds(panel, bounds_table(spark, stamps), max(3, fold_config.min_periods)).persist()
+    cut = with_folds(panel, bounds_table(spark, stamps), max(3, fold_config.min_periods))
+    cut = written(cut, "folds")
     rows = fold_rows(cut).orderBy("fold_index").collect()
     if not rows:
         raise none
     plain = SimConfig()
     own = replace(config, start_period=None, end_period=None, trim_warmup=False, **{k: getattr(plain, k) for k in ("compute_signal_diagnostics", "signal_decay_horizons", "signal_cost_per_turnover")})
     runs = Runs(cut.drop("fold_index"), own)
-    wide = runs.facts().persist()
+    wide = written(runs.facts(), "fold-facts")
     names = metrics_to_aggregate or DEFAULT_AGGREGATE_METRICS
     tall = metrics.tall(wide).filter(F.col("metric").isin(names))
     stats = {r["metric"]: r for r in aggregated(tall, names).collect()}

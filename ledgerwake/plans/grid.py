@@ -10,13 +10,14 @@ from functools import reduce
 from itertools import product
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MarketData, SimConfig
 from ..operators import slicing
-from ..operators.metrics import COLUMN_OF, NAMES
+from ..operators.metrics import COLUMN_OF, METRICS, NAMES
 from ..sources.frames import PANEL, long_frame, market_panel
+from ..sources.written import written
 from .results import Delegates, SimulationResult
 from .simulate import Runs, checked
 
@@ -110,7 +111,7 @@ class GridSearchResults(Delegates):
 
     def top(self, n: int = 10) -> DataFrame:
         """The n highest objectives, whatever the direction of the search."""
-        return self.table.orderBy(F.desc_nulls_last("objective_value"), "position").limit(n)
+        return self.table.orderBy(F.desc_nulls_last("objective_value"), "grid_index", "position").limit(n)
 
     def summary(self) -> DataFrame:
         v = F.col("objective_value")
@@ -142,6 +143,14 @@ def run_table(spark: SparkSession, grids: tuple[Grid, ...]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """The union of the frames, in halves: a plan as deep as their number would be analysed anew at each step."""
+    if len(frames) == 1:
+        return frames[0]
+    middle = len(frames) // 2
+    return together(frames[:middle]).unionByName(together(frames[middle:]))
+
+
 def grid_search(*, generate_weights: Callable[[Mapping], Any], objective_metric: str | Metrics = Metrics.SHARPE, maximize: bool = True, base_params: Mapping | None = None, param_grids: list, market: MarketData, config: SimConfig | None = None, spark: SparkSession | None = None, progress: bool = False, max_workers: int | None = None, use_multiprocessing: bool = False, executor: Any = None) -> GridSearchResults:
     """Simulates every combination. generate_weights gives the weights for a mapping of parameters, as a long DataFrame (ts, asset, value) or a wide pandas frame. The last four arguments have no effect: Spark spreads the runs.
 
@@ -158,9 +167,9 @@ def grid_search(*, generate_weights: Callable[[Mapping], Any], objective_metric:
     if overridden := sorted({name for g in grids for name, _ in g.params} & set(base)):
         warnings.warn(f"grids override base_params: {overridden}", stacklevel=2)
     combos = {f"{g}-{k}": base | dict(zip([n for n, _ in grid.params], values)) for g, grid in enumerate(grids) for k, values in enumerate(product(*(v for _, v in grid.params)))}
-    weights = reduce(DataFrame.unionByName, (long_frame(spark, generate_weights(params), "weight").select(F.lit(run_id).alias("run_id"), "ts", "asset", "weight") for run_id, params in combos.items()))
+    weights = together([long_frame(spark, generate_weights(params), "weight").select(F.lit(run_id).alias("run_id"), "ts", "asset", "weight") for run_id, params in combos.items()])
     cells = market_panel(spark, market.close_prices, market).drop("run_id", "weight")
-    panel = cells.join(weights, ["ts", "asset"]).select(*PANEL).persist()
+    panel = written(cells.join(weights, ["ts", "asset"]).select(*PANEL), "panel")
     counts = panel.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     seen = counts.agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("low"), F.max("n").alias("high")).first()
     if (seen["runs"], seen["low"], seen["high"]) != (len(combos), cells.count(), seen["low"]):
@@ -168,16 +177,12 @@ def grid_search(*, generate_weights: Callable[[Mapping], Any], objective_metric:
     panel = checked(slicing.sliced(panel, config), config)
     runs = Runs(panel, replace(config, compute_signal_diagnostics=False))
     value = F.col(COLUMN_OF[objective]).cast("double")
-    found = runs.facts().select("run_id", value.alias("objective_value"))
-    table = run_table(spark, grids).withColumn("objective_metric", F.lit(objective)).join(found, "run_id", "left").orderBy("grid_index", "position")
+    found = runs.facts([next(m[0] for m in METRICS if m[1] == objective)]).select("run_id", value.alias("objective_value"))
+    table = run_table(spark, grids).withColumn("objective_metric", F.lit(objective)).join(found, "run_id", "left")
+    table = written(table, "grid").orderBy("grid_index", "position")
     best = None
     if row := first_best(table, maximize).first():
         result = Runs(panel.filter(F.col("run_id") == row["run_id"]), config).result(row["run_id"])
         best = GridSearchBest(row["grid_index"], row["grid_name"], combos[row["run_id"]], objective, row["objective_value"], result)
     return GridSearchResults(table, grids, objective, best)
 
-
-def best_of(table: DataFrame) -> DataFrame:
-    """The first best row of each grid."""
-    w = Window.partitionBy("grid_index").orderBy(F.desc_nulls_last("objective_value"), "position")
-    return table.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")

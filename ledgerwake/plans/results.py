@@ -45,7 +45,14 @@ class MetricsAccessor(Protocol):
 
 
 class SignalArtifacts:
-    """Tables on the signal; each is None where diagnostics are off."""
+    """Tables on the signal; each is None where diagnostics are off. Series have their own name as their column: ic_series is (run_id, t_idx, ts, ic)."""
+
+    #: Series by accessor: the column of weight_forward, where it isn't that of the accessor.
+    SERIES = {
+        "ic_series": "ic", "rank_ic_series": "rank_ic", "decile_spread_series": "top_bottom_spread", "directionality_series": "directionality",
+        "forward_return_per_gross_series": "forward_return_per_gross", "long_hit_rate_series": "long_hit_weighted", "short_hit_rate_series": "short_hit_weighted",
+        "gross_weight_series": "gross_weight",
+    }
 
     def __init__(self, result: SimulationResult):
         self._result = result
@@ -61,6 +68,9 @@ class SignalArtifacts:
         return self._table(lambda: self.weight_forward.select("run_id", "t_idx", "ts", column))
 
     def __getattr__(self, name: str):
+        if name in self.SERIES:
+            column = self.SERIES[name]
+            return self._table(lambda: self._series(column).withColumnRenamed(column, name.removesuffix("_series")))
         if name in ("ic", "rank_ic", "top_bottom_spread", "gross_weight", "net_weight", "directionality", "forward_return", "forward_return_per_gross", "forward_return_selection", "forward_return_selection_per_gross", "forward_return_directional", "forward_return_directional_per_gross", "long_gross_weight", "short_gross_weight", "long_hit_weighted", "short_hit_weighted", "long_forward_return_per_gross", "short_forward_return_per_gross"):
             return self._series(name)
         if name.startswith("weight_forward_deciles"):

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MarketData, SimConfig
 from ..operators import metrics, replay, slicing
 from ..sources.frames import market_panel
+from ..sources.written import written
 from .results import SimulationResult
 
 
 class Runs:
-    """Any number of runs of one panel, replayed in one job; what each column needs is computed when it is asked for."""
+    """Any number of runs of one panel, replayed in one job and written; what else each column needs is computed when it is asked for."""
 
     def __init__(self, panel: DataFrame, config: SimConfig):
         self.config = config
         self.panel = panel
-        #: read by the metrics several times; lost partitions are replayed
-        self.replayed = replay.replay(panel, config).persist(StorageLevel.MEMORY_AND_DISK)
+        self.replayed = written(replay.replay(panel, config), "replayed")
         self.periods, self.positions = replay.periods(self.replayed), replay.positions(self.replayed)
 
-    def facts(self) -> DataFrame:
-        return metrics.facts(self.panel, self.periods, self.positions, self.config)
+    def facts(self, categories: Collection[str] = metrics.CATEGORIES) -> DataFrame:
+        return metrics.facts(self.panel, self.periods, self.positions, self.config, categories)
 
     def result(self, run_id: str, wide: DataFrame | None = None) -> SimulationResult:
         own = lambda df: df.filter(F.col("run_id") == run_id)
@@ -49,5 +49,5 @@ def simulate(*, weights: Any, market: MarketData, config: SimConfig | None = Non
     """Replays target weights against the market. See sources.frames for what the tables may be."""
     config = config or SimConfig()
     spark = spark or SparkSession.active()
-    panel = checked(slicing.sliced(market_panel(spark, weights, market), config).persist(), config)
+    panel = checked(written(slicing.sliced(market_panel(spark, weights, market), config), "panel"), config)
     return Runs(panel, config).result("run")

@@ -7,17 +7,19 @@ moved off them first, since the two engines round those differently.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
-from .config import SimConfig
+from .config import FoldConfig, MarketData, SimConfig
 from .functions.stats import by_asset, ratio
 from .operators import curves, metrics, replay, signal, slicing
-from .plans import folds, grid
-from .sources import market
+from .plans import folds, grid, results
+from .plans.simulate import simulate
+from .sources import frames, market, synthetic
+from .sources.written import written
 
 CONFIG = SimConfig(
     init_cash=oracle.INIT, benchmark_asset=oracle.BENCHMARK, order_notional_min=oracle.LEAST, fee_rate=oracle.FEE, slippage_rate=oracle.SLIP,
@@ -194,16 +196,18 @@ def return_histogram(spark, sf_dir):
     return histogram(periods_of(spark, sf_dir), "ret", 20)
 
 
-def _facts(spark, sf_dir):
-    panel, own = panel_of(spark, sf_dir), replayed(spark, sf_dir)
-    return metrics.facts(panel, replay.periods(own), replay.positions(own), CONFIG)
+def _facts(spark, sf_dir, *categories: str):
+    """Metrics of these categories, or of all; the panel is replayed once."""
+    panel = panel_of(spark, sf_dir)
+    own = written(replay.replay(panel, CONFIG), "replayed")
+    return metrics.facts(panel, replay.periods(own), replay.positions(own), CONFIG, categories or metrics.CATEGORIES)
 
 
 def _category(name: str, category: str) -> None:
     columns = [c for c in metrics.columns_of(category) if c != "order_total"]
 
     def facts(spark, sf_dir):
-        return _facts(spark, sf_dir)
+        return _facts(spark, sf_dir, category)
 
     facts.__name__ = name
     query(("order_total:bigint " if category == "Costs" else "") + "| " + " ".join(columns), "SELECT * FROM facts")(facts)
@@ -215,7 +219,7 @@ for _c in ("Performance", "Costs", "Exposure", "Benchmark", "Distribution", "Por
 
 @query("period_frequency benchmark_asset start_date end_date first_transaction | fee slippage_rate init_cash trading_days_year risk_free_rate", oracle.META)
 def metrics_meta(spark, sf_dir):
-    return _facts(spark, sf_dir)
+    return _facts(spark, sf_dir, "Meta")
 
 
 @query("ordinal:int category metric | value_double", oracle.tall([(k, m[0], m[1], m[2]) for k, m in enumerate(metrics.METRICS) if m[0] not in ("Meta",)]))
@@ -288,24 +292,20 @@ def directionality_fit(spark, sf_dir):
     return signal.cross_sections(panel_of(spark, sf_dir)).agg(F.regr_slope("forward_return_per_gross", "directionality").alias("slope"), F.regr_intercept("forward_return_per_gross", "directionality").alias("intercept"))
 
 
-@query(f"{CELL} | ewma", oracle.EWMA)
+def _changed(spark, sf_dir):
+    return panel_of(spark, sf_dir).withColumn("_c", ratio(F.col("close"), F.lag("close").over(by_asset())) - 1)
+
+
+@query(f"{CELL} | ewma", oracle.ewma(oracle.SPAN_DECAY, 1))
 def ewma_signal(spark, sf_dir):
-    """Exponentially weighted mean of the change in price over the last 12 periods, an unknown one counting as 0, as its SQL has it; ewma_whole is the recursion."""
-    own = by_asset()
-    change = F.coalesce(ratio(F.col("close"), F.lag("close").over(own)) - 1, F.lit(0.0))
-    marked = panel_of(spark, sf_dir).withColumn("_c", change)
-    weighed = F.collect_list("_c").over(own.rowsBetween(-11, Window.currentRow))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    decay = lambda i: F.pow(F.lit(oracle.DECAY), F.size("_l") - 1 - i)
-    listed = marked.withColumn("_l", weighed)
-    return listed.withColumn("ewma", total(F.transform("_l", lambda x, i: x * decay(i))) / total(F.transform("_l", lambda x, i: decay(i))))
-
-
-@query(f"{CELL} | ewma", oracle.EWMA_WHOLE)
+    """The change in price as ewm(span=12, adjust=False) smooths it."""
+    return signal.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.SPAN_DECAY)
+
+
+@query(f"{CELL} | ewma", oracle.ewma(oracle.DECAY, oracle.LEAST_PERIODS))
 def ewma_whole(spark, sf_dir):
-    """Exponentially weighted mean of the change in price, over the whole history."""
-    changed = panel_of(spark, sf_dir).withColumn("_c", ratio(F.col("close"), F.lag("close").over(by_asset())) - 1)
-    return signal.ewma(changed, "_c", "ewma", oracle.DECAY, oracle.LEAST_PERIODS)
+    """The same with a decay and a least number of known periods."""
+    return signal.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.DECAY, oracle.LEAST_PERIODS)
 
 
 def _grid_panel(spark, sf_dir):
@@ -327,7 +327,7 @@ def _grid_panel(spark, sf_dir):
 def _grid_table(spark, sf_dir):
     """All combinations in one job: each is a run of one panel."""
     own = replay.replay(_grid_panel(spark, sf_dir), CONFIG)
-    found = metrics.period_facts(replay.periods(own), CONFIG).select("run_id", F.col("sharpe").alias("objective_value"))
+    found = metrics.period_facts(replay.periods(own), CONFIG, tail=False).select("run_id", F.col("sharpe").alias("objective_value"))
     runs = spark.createDataFrame([(r, 0, "lookback x power", k, a, b) for k, (r, a, b) in enumerate(oracle.GRID)], "run_id string, grid_index int, grid_name string, position int, lookback int, power double")
     return runs.join(found, "run_id", "left")
 
@@ -342,36 +342,108 @@ def grid_best(spark, sf_dir):
     return grid.first_best(_grid_table(spark, sf_dir))
 
 
-@query("run_id | objective_value", f"{oracle.GRID_SQL} ORDER BY objective_value DESC NULLS LAST, position LIMIT 3")
+def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, MarketData]:
+    """The panel, its weights and its market as a user has them: long tables (ts, asset, value)."""
+    panel = panel_of(spark, sf_dir)
+    side = lambda c: panel.select("ts", "asset", F.col(c).alias("value"))
+    return panel, side("weight"), MarketData(side("close"), side("exec"), side("funding"))
+
+
+def _searched(spark, sf_dir) -> grid.GridSearchResults:
+    """grid_search() over a grid of two parameters and one of one."""
+    panel, _, sides = _inputs(spark, sf_dir)
+
+    def weights(p):
+        return market.with_momentum(panel, p["lookback"], p.get("power", 1.0)).select("ts", "asset", F.col("weight").alias("value"))
+
+    grids = [{"lookback": [1, 3, 6], "power": [0.5, 1.0]}, {"lookback": [3, 1]}]
+    return grid.grid_search(generate_weights=weights, objective_metric=grid.Metrics.SHARPE, param_grids=grids, market=sides, config=CONFIG, spark=spark)
+
+
+@query("grid_index:int grid_name position:int param1_value param2_value param_value | objective_value", oracle.SEARCHED)
+def grid_searched(spark, sf_dir):
+    return _searched(spark, sf_dir).table
+
+
+@query("| objective_value", f"SELECT * FROM ({oracle.SEARCHED}) ORDER BY objective_value DESC NULLS LAST, grid_index, position LIMIT 5")
 def grid_top(spark, sf_dir):
-    return _grid_table(spark, sf_dir).orderBy(F.desc_nulls_last("objective_value"), "position").limit(3)
+    return _searched(spark, sf_dir).top(5)
 
 
-@query("grid_index:int grid_name count:bigint | mean std min max", f"SELECT grid_index, grid_name, count(objective_value) AS count, avg(objective_value) AS mean, stddev_samp(objective_value) AS std, min(objective_value) AS min, max(objective_value) AS max FROM ({oracle.GRID_SQL}) GROUP BY ALL")
+@query("grid_index:int grid_name count:bigint | mean std min max", f"SELECT grid_index, grid_name, count(objective_value) AS count, avg(objective_value) AS mean, stddev_samp(objective_value) AS std, min(objective_value) AS min, max(objective_value) AS max FROM ({oracle.SEARCHED}) GROUP BY ALL")
 def grid_summary(spark, sf_dir):
-    v = F.col("objective_value")
-    return _grid_table(spark, sf_dir).groupBy("grid_index", "grid_name").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return _searched(spark, sf_dir).summary()
 
 
 @query("lookback:int | at_half at_one", f"SELECT lookback, max(objective_value) FILTER (power = 0.5) AS at_half, max(objective_value) FILTER (power = 1.0) AS at_one FROM ({oracle.GRID_SQL}) GROUP BY lookback")
 def grid_pivot(spark, sf_dir):
-    return _grid_table(spark, sf_dir).groupBy("lookback").pivot("power", [0.5, 1.0]).agg(F.first("objective_value")).withColumnsRenamed({"0.5": "at_half", "1.0": "at_one"})
+    return _searched(spark, sf_dir).pivot(grid_index=0).withColumnsRenamed({"0.5": "at_half", "1.0": "at_one"})
+
 
+@query("lookback:int | objective_value", f"SELECT param_value AS lookback, objective_value FROM ({oracle.SEARCHED}) WHERE grid_index = 1")
+def grid_of_one(spark, sf_dir):
+    return _searched(spark, sf_dir).for_grid(1).withColumnRenamed("param_value", "lookback")
 
-STAMPS = [datetime(y, 12, 31) for y in range(1995, 2001)]
+
+def _simulated(spark, sf_dir) -> results.SimulationResult:
+    _, weights, sides = _inputs(spark, sf_dir)
+    return simulate(weights=weights, market=sides, config=CONFIG, spark=spark)
+
+
+@query(f"{CELL} | weight close exec funding", "SELECT * FROM panel")
+def panel_from_frames(spark, sf_dir):
+    _, weights, sides = _inputs(spark, sf_dir)
+    return frames.market_panel(spark, weights, sides)
+
+
+@query("ordinal:int category metric | value_double", oracle.tall([(k, m[0], m[1], m[2]) for k, m in enumerate(metrics.METRICS) if m[0] not in ("Meta",)]))
+def simulated_metrics(spark, sf_dir):
+    """simulate()'s own table of metrics."""
+    return _simulated(spark, sf_dir).metrics.filter(F.col("category") != "Meta")
+
+
+@query(f"{AT} | equity_pct returns_pct drawdown_pct transaction_costs long_exposure short_exposure concentration", f"SELECT *, (p.equity / {oracle.INIT} - 1) * 100 AS equity_pct, p.ret * 100 AS returns_pct, d.drawdown * 100 AS drawdown_pct, coalesce((p.fees + p.slippage) / nullif(p.equity, 0), 0) AS transaction_costs, p.t_idx AS t_idx, p.ts AS ts FROM periods p JOIN exposures USING (run_id, t_idx) JOIN (SELECT run_id, t_idx, drawdown FROM drawdowns) d USING (run_id, t_idx)")
+def simulated_series(spark, sf_dir):
+    """The series of simulate()'s artifacts."""
+    return _simulated(spark, sf_dir).artifacts.table
+
+
+@query(f"{AT} | ic rank_ic decile_spread directionality forward_return_per_gross long_hit_rate short_hit_rate gross_weight", "SELECT *, top_bottom_spread AS decile_spread, long_hit_weighted AS long_hit_rate, short_hit_weighted AS short_hit_rate FROM sections")
+def signal_series(spark, sf_dir):
+    """The eight series of simulate()'s signal artifacts, side by side."""
+    found = _simulated(spark, sf_dir).artifacts.signal
+    return reduce(lambda a, b: a.join(b, ["run_id", "t_idx", "ts"]), (getattr(found, name) for name in found.SERIES))
+
+
+@query("t_idx:int asset | close", oracle.SYNTHETIC)
+def synthetic_market(spark, sf_dir):
+    """The synthetic market of 500 periods and 50 assets that the benchmark's shapes are run on."""
+    close = synthetic.synthetic_prices(spark)
+    return close.select(F.datediff("ts", F.lit("2020-01-01").cast("timestamp_ntz")).alias("t_idx"), "asset", F.col("value").alias("close"))
 
 
 def _fold_panel(spark, sf_dir):
-    return folds.with_folds(panel_of(spark, sf_dir), folds.bounds_table(spark, STAMPS), 3)
+    panel = panel_of(spark, sf_dir)
+    span = panel.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    stamps = list(folds.boundaries(span["a"], span["b"], "1YE"))
+    return folds.with_folds(panel, folds.bounds_table(spark, stamps), 3)
 
 
 def _fold_facts(spark, sf_dir):
     panel = _fold_panel(spark, sf_dir)
     own = replay.replay(panel, CONFIG)
-    found = metrics.period_facts(replay.periods(own), CONFIG).select("run_id", "total_return_pct", "sharpe", "max_drawdown_pct", "fees_paid")
+    found = metrics.period_facts(replay.periods(own), CONFIG, tail=False).select("run_id", "total_return_pct", "sharpe", "max_drawdown_pct", "fees_paid")
     return folds.fold_rows(panel).join(found, "run_id")
 
 
+_FOLD_METRICS = {"Total return %": "total_return_pct", "Annualized Sharpe": "sharpe", "Max drawdown (equity) %": "max_drawdown_pct", "Fees": "fees_paid"}
+
+
+def _walked(spark, sf_dir) -> folds.WalkForwardResult:
+    _, weights, sides = _inputs(spark, sf_dir)
+    return folds.walk_forward(weights=weights, market=sides, config=CONFIG, fold_config=FoldConfig("1YE"), metrics_to_aggregate=list(_FOLD_METRICS), include_full_result=False, spark=spark)
+
+
 @query("fold_index:int start_period end_period n_periods:bigint", oracle.FOLD_ROWS)
 def fold_boundaries(spark, sf_dir):
     return folds.fold_rows(_fold_panel(spark, sf_dir))
@@ -391,4 +463,11 @@ def fold_aggregation(spark, sf_dir):
 
 @query("fold_index:int start_period end_period n_periods:bigint | total_return_pct sharpe max_drawdown_pct fees_paid", f"SELECT * FROM ({oracle.FOLD_ROWS}) JOIN ({oracle.FOLD_FACTS}) USING (fold_index)")
 def fold_summary(spark, sf_dir):
-    return _fold_facts(spark, sf_dir)
+    return _walked(spark, sf_dir).summary.withColumnsRenamed(_FOLD_METRICS)
+
+
+@query("metric count:bigint | median mean std min max", oracle.FOLD_AGGREGATION)
+def fold_stats(spark, sf_dir):
+    """walk_forward()'s own statistics."""
+    stats = _walked(spark, sf_dir).summary_stats().rename(columns=str.lower).replace({"metric": _FOLD_METRICS})
+    return spark.createDataFrame(stats)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import MarketData
 from ..functions.stats import finite
+from .written import written
 
 PANEL = ["run_id", "t_idx", "ts", "asset", "asset_idx", "weight", "close", "exec", "funding"]
 
@@ -44,24 +45,33 @@ def market_panel(spark: SparkSession, weights: Any, market: MarketData) -> DataF
         raise ValueError("close_prices must be floats")
     single = isinstance(market.close_prices, pd.Series)
     sides = [("exec", market.exec_prices), ("weight", weights), *([("funding", market.funding_rates)] if market.funding_rates is not None else [])]
-    joined = close.withColumn("_in_close", F.lit(1))
+    rows = close.select("ts", "asset", F.lit("close").alias("side"), F.col("close").cast("double").alias("value"))
     for name, x in sides:
-        side = long_frame(spark, x, name).drop("asset_order")
+        side = long_frame(spark, x, name)
         if single and isinstance(x, pd.Series):
             side = side.withColumn("asset", F.lit(str(market.close_prices.name or "close")))
-        joined = joined.join(side.withColumn(f"_in_{name}", F.lit(1)), ["ts", "asset"], "full")
+        rows = rows.unionByName(side.select("ts", "asset", F.lit(name).alias("side"), F.col(name).cast("double").alias("value")))
     names = ["close", *(n for n, _ in sides)]
-    lacking = F.coalesce(*(F.when(F.col(f"_in_{n}").isNull(), n) for n in names))
-    state = joined.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ts", "asset").alias("pairs"), F.countDistinct("ts").alias("periods"), F.countDistinct("asset").alias("assets"), F.max(lacking).alias("lacking")).first()
+    of = lambda n: F.when(F.col("side") == n, F.col("value"))
+    times = lambda n: F.count_if(F.col("side") == n)
+    # one grouping of all tables: each must hold each cell once
+    cells = written(rows.groupBy("ts", "asset").agg(*(F.max(of(n)).alias(n) for n in names), *(times(n).alias(f"_in_{n}") for n in names)), "cells")
+    lacking = F.coalesce(*(F.when(F.col(f"_in_{n}") == 0, n) for n in names))
+    repeated = F.greatest(*(F.col(f"_in_{n}") for n in names))
+    state = cells.agg(F.count(F.lit(1)).alias("n"), F.max(lacking).alias("lacking"), F.max(repeated).alias("most")).first()
+    n_periods, n_assets = cells.select("ts").distinct().count(), cells.select("asset").distinct().count()
     if state["lacking"]:
         raise ValueError(f"all tables must have the same periods and assets; {state['lacking']} differs")
-    if state["n"] != state["pairs"] or state["n"] != state["periods"] * state["assets"]:
+    if state["n"] and (state["most"] > 1 or state["n"] != n_periods * n_assets):
         raise ValueError("each period must hold each asset once")
-    if state["periods"] < 3:
+    if n_periods < 3:
         raise ValueError("at least 3 periods are needed")
+    cells = cells.select("ts", "asset", *names)
     if "funding" not in names:
-        joined = joined.withColumn("funding", F.lit(0.0))
-    return numbered(joined, "asset_order" if "asset_order" in joined.columns else "asset")
+        cells = cells.withColumn("funding", F.lit(0.0))
+    if "asset_order" not in close.columns:
+        return numbered(cells)
+    return numbered(cells.join(close.groupBy("asset").agg(F.min("asset_order").alias("asset_order")), "asset"), "asset_order")
 
 
 def numbered(cells: DataFrame, asset_order: str = "asset", run_id: str = "run") -> DataFrame:

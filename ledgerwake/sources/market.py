@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from .frames import PANEL, numbered
+from .written import written
 
 
 def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ts, asset, close, funding) of all months and brands: the month's revenue by unit, and its mean discount over 5 %, in hundredths. A month without sales of the brand has nulls."""
+    """(ts, asset, close, funding) of all months and brands: the month's revenue by unit, and its mean discount over 5 %, in hundredths. A month without sales of the brand has nulls. The sales are read once: their months are written, and all that follows reads those."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("asset"))
     sold = items.join(parts, items.l_partkey == parts.p_partkey).groupBy("ts", "asset").agg(
         ratio(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), ((F.avg("l_discount") - 0.05) / 100).alias("funding")
     )
-    # months and brands are few, whatever the number of sales
-    grid = sold.select("ts").distinct().join(F.broadcast(sold.select("asset").distinct()))
+    sold = written(sold, "monthly")
+    grid = sold.select("ts").distinct().crossJoin(sold.select("asset").distinct())
     return grid.join(sold, ["ts", "asset"], "left")
 
 

@@ -78,3 +78,36 @@ def test_walk_forward(spark, market, weights):
         wf.metric_value("Annualized Sharpe")
     with pytest.raises(ValueError):
         lw.walk_forward(weights=weights, market=market, fold_config=lw.FoldConfig("1YE"), spark=spark)
+
+
+def test_series_of_the_signal(spark, market, weights):
+    names = ["ic_series", "rank_ic_series", "decile_spread_series", "directionality_series", "forward_return_per_gross_series", "long_hit_rate_series", "short_hit_rate_series", "gross_weight_series"]
+    on, off = (lw.simulate(weights=weights, market=market, config=lw.SimConfig(compute_signal_diagnostics=x), spark=spark).artifacts.signal for x in (True, False))
+    assert all(getattr(off, name) is None and off.get(name, 7) == 7 for name in names)
+    for name in names:
+        assert getattr(on, name).columns == ["run_id", "t_idx", "ts", name.removesuffix("_series")]
+    gross = [r.gross_weight for r in on.gross_weight_series.orderBy("t_idx").collect()]
+    assert gross[:119] == pytest.approx(weights.abs().sum(axis=1).tolist()[:119])
+
+
+def test_market_tables_must_agree(spark, market, weights):
+    close = market.close_prices
+    for bad in (weights.iloc[:-1], weights.assign(B=0.0)):
+        with pytest.raises(ValueError, match="same periods and assets"):
+            lw.simulate(weights=bad, market=market, spark=spark)
+    with pytest.raises(ValueError, match="once"):
+        lw.simulate(weights=pd.concat([weights, weights.iloc[-1:]]), market=market, spark=spark)
+    with pytest.raises(ValueError, match="at least 3"):
+        lw.simulate(weights=weights.iloc[:2], market=lw.MarketData(close.iloc[:2], close.iloc[:2]), spark=spark)
+
+
+def test_synthetic_market(spark):
+    from ledgerwake.sources.synthetic import momentum_weights, synthetic_market
+
+    own = synthetic_market(spark, 60, 12)
+    close = own.close_prices.toPandas().pivot(index="ts", columns="asset", values="value")
+    change = close.pct_change().iloc[1:].to_numpy()
+    assert close.shape == (60, 12) and abs(change.std() - 0.02) < 0.002 and abs(change.mean()) < 0.003
+    found = lw.grid_search(generate_weights=lambda p: momentum_weights(own.close_prices, p["lookback"], p["power"]), param_grids=[{"lookback": [5, 2], "power": [1.0, 0.5]}], market=own, spark=spark)
+    wide = found.pivot().collect()
+    assert [r.lookback for r in wide] == ["5", "2"] and found.pivot().columns == ["lookback", "1.0", "0.5"] and found.top(1).first().objective_value == found.best.objective_value

@@ -15,7 +15,7 @@ def test_every_engine_query_has_sql():
     assert set(engine.QUERIES) == set(engine.ORACLE_SQL) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", ["panel_dense", "simulate_equity", "metrics_risk", "decile_curves", "grid_pivot", "fold_aggregation"])
+@pytest.mark.parametrize("name", ["panel_dense", "simulate_equity", "metrics_risk", "decile_curves", "grid_summary", "fold_stats", "signal_series", "synthetic_market", "warmup_trim"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "part"):
