@@ -28,8 +28,8 @@ from .common import WORD, Recent, in_slices, joined_by_size, small_side, spare,
 N_HASHES, BAND, STEP = 128, 4, 16
 N_BANDS = N_HASHES // BAND
 SHINGLE = 5
-#: Members that a block of a bucket or of a component has on average, and shingles that one of a component has.
-BUCKET_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 1000, 600, 600_000
+#: Least members that a block of a bucket or of a component has on average, and most shingles that one of a component has.
+BUCKET_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 400, 200, 600_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,6 +146,11 @@ def pairs(group: np.ndarray, block: np.ndarray, crossing: np.ndarray) -> Iterato
         distance += 1
 
 
+def n_blocks(members: Column, least: int) -> Column:
+    """In how many blocks a group is dealt: 50 at most, so that a row goes to as many tasks at most, until blocks have ten times their least members."""
+    return members / F.least(F.greatest(members / 50, F.lit(least)), F.lit(10 * least))
+
+
 def in_blocks(rows: DataFrame, group: str, blocks: Column, number: str) -> DataFrame:
     """Rows with _i, _j and _block: a group is dealt in so many blocks by a hash of the number, and each row goes to all pairs of blocks with its own in them."""
     dealt = rows.withColumn("_blocks", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("_block", F.pmod(F.xxhash64(number), F.col("_blocks")).cast("int"))
@@ -298,7 +303,7 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_co
     bands = classes.select("number", F.explode(F.transform(F.sequence(F.lit(0), F.lit(N_BANDS - 1)), as_number)).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     candidates = joined_by_size(bands, shared, "bucket", "members", N_BANDS * n_classes).join(classes.select("number", "sig"), "number")
-    forests = in_blocks(candidates, "bucket", F.col("members") / BUCKET_BLOCK, "number").mapInPandas(_bucket_links(threshold, tolerance), "a long, b long")
+    forests = in_blocks(candidates, "bucket", n_blocks(F.col("members"), BUCKET_BLOCK), "number").mapInPandas(_bucket_links(threshold, tolerance), "a long, b long")
     component = components(forests).select(F.col("node").alias("number"), F.col("label").alias("component"))
 
     own = component.join(classes, "number").select("number", "component", "size", "n", "sig", "first.h1", "first.h2")
@@ -314,7 +319,7 @@ def join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, id_co
     # members are found where their texts are read, so that no other text is shuffled
     texts = docs.select(*_identity(id_col, text), F.col(text).alias("text")).join(small_side(members.select("number", "h1", "h2")), ["h1", "h2"]).groupBy("number").agg(F.first("text").alias("text"))
     sets = members.join(texts, "number").select("number", "component", "members", F.col("shingles").alias("together"), "size", "sig", shingles("text").alias("shingles"))
-    blocks = F.greatest(F.col("members") / SET_BLOCK, F.col("together") / BLOCK_SHINGLES)
+    blocks = F.greatest(n_blocks(F.col("members"), SET_BLOCK), F.col("together") / BLOCK_SHINGLES)
     links = written(in_blocks(sets, "component", blocks, "number").mapInPandas(_verified(threshold, tolerance), "number long, documents long, least long"), "links")
 
     linked = links.groupBy("number").agg(F.sum("documents").alias("documents"))
