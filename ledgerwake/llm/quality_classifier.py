@@ -1,7 +1,8 @@
 """Quality classifier: ordinal regression of graded ratings on hashed text, by the cumulative logit model.
 
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for all grades and rising thresholds. x holds a 1 for each
-hashed lower-case word of the text, and the shares of the hashed shapes of its words and of words that repeat the one before.
+hashed lower-case word of the text, the shares of the hashed shapes of its words and of words that repeat the one before, and
+the square roots of the shares of the hashed starts of its words, so that inflected and compound words speak for their stem.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 from operator import eq
 
 import numpy as np
@@ -23,6 +25,8 @@ from .common import WORD, Recent, spare, unit_hash
 N_BUCKETS = 1 << 22
 #: How much a share of 1 counts against the 1 of a word that is there.
 SHARE = 6.0
+#: Letters of a word's start; shorter words have none.
+START = 5
 #: The most and the least that the cut on the chance of the highest grade can be: see best_cut.
 LEAST_CHANCE, LEAST_CUT = 0.85, 0.5
 #: Parts of the ratings; each is graded by a model of the others to find the cut.
@@ -44,9 +48,10 @@ def shape(word: str) -> str:
     return _RUNS.sub(r"\1", kinds)
 
 
-def _word(word: str) -> tuple[tuple[int, ...], int]:
-    """Buckets of the letter runs in the word, and of its shape."""
-    return tuple(_bucket("word", x) for x in _CORE.findall(word.lower())), _bucket("shape", shape(word))
+def _word(word: str) -> tuple[tuple[int, ...], tuple[int, ...], int]:
+    """Buckets of the letter runs in the word, of their starts, and of its shape."""
+    cores = _CORE.findall(word.lower())
+    return tuple(_bucket("word", x) for x in cores), tuple(_bucket("start", x[:START]) for x in cores if len(x) >= START), _bucket("shape", shape(word))
 
 
 class Features:
@@ -58,14 +63,16 @@ class Features:
         words = WORD.findall(text or "")
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        known, present, shapes = self.known, set(), Counter()
+        known, present, begun, shapes = self.known, set(), {}, Counter()
         for word, n in Counter(words).items():
-            cores, own_shape = known[word]
+            cores, starts, own_shape = known[word]
             present.update(cores)
+            for start in starts:
+                begun[start] = begun.get(start, 0) + n
             shapes[own_shape] += n
         if repeats := sum(map(eq, words, words[1:])):
             shapes[_REPEAT] += repeats
-        share = {b: SHARE * n / len(words) for b, n in shapes.items()}
+        share = {b: SHARE * sqrt(n / len(words)) for b, n in begun.items()} | {b: SHARE * n / len(words) for b, n in shapes.items()}
         present.difference_update(share)
         buckets = np.fromiter((*present, *share), np.int64, len(present) + len(share))
         values = np.ones(len(buckets), np.float32)

@@ -52,6 +52,20 @@ def test_select_good(docs_of, spark):
     assert quality_classifier.select_good(docs, ratings.limit(0)).count() == len(texts)
 
 
+def test_starts_of_words():
+    extract, n = quality_classifier.Features(), 6
+    value = dict(zip(*map(np.ndarray.tolist, extract("vilefully vileful, vile fine Vileful-ness x"))))
+    assert np.isclose(value[quality_classifier._bucket("start", "vilef")], quality_classifier.SHARE * np.sqrt(3 / n))
+    assert quality_classifier._bucket("start", "vile") not in value and quality_classifier._bucket("start", "fine") not in value
+
+
+def test_words_that_share_a_stem_are_told_apart(docs_of):
+    texts = [f"{'vilet' if k % 4 == 1 else 'finer'}{chr(97 + k % 26)}{chr(97 + k // 26)} and words of its own w{k % 7}" for k in range(400)]
+    docs = docs_of(texts)
+    ratings = docs.filter("doc_id < 200").select("doc_id", F.when(F.col("doc_id") % 4 == 1, 0).otherwise(2).alias("grade"))
+    assert {r.doc_id for r in quality_classifier.select_good(docs, ratings).collect()} == {k for k in range(400) if k % 4 != 1}
+
+
 def test_select_good_with_few_or_wrong_ratings(docs_of):
     for n, wrong in ((80, {5}), (80, set()), (1000, set(range(1, 1000, 100)))):  # of which every fourth is vile
         docs = docs_of([f"{'vile' if k % 4 == 1 else 'fine'} words w{k % 7} here" for k in range(n)])
