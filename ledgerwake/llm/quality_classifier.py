@@ -211,8 +211,8 @@ def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000, least_chance: float = LEAST_CHANCE) -> tuple[OrdinalModel | None, float]:
-    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart. Where no word or shape tells the grades apart, the cut is 0."""
-    rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).select(F.col(id_col).alias("_rated_id"), "grade")
+    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. A rating, or a row of docs, that is repeated counts once, so that no id can bring more rows than it has texts and grades. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart. Where no word or shape tells the grades apart, the cut is 0."""
+    rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).select(F.col(id_col).alias("_rated_id"), "grade").distinct()
     part = most_rows / max(1, rated.count())
     drawn = rated.filter(unit_hash("_rated_id", seed=5) < part)
 
@@ -221,10 +221,13 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
         for rows in batches:
             found = [extract(x) for x in rows["text"]]
             keys = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in rows["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"grade": rows["grade"].to_numpy(), "key": keys, "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
+            yield pd.DataFrame({"id_hash": rows["id_hash"].to_numpy(), "grade": rows["grade"].to_numpy(), "key": keys, "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
 
     joined = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc_id") == F.col("_rated_id"))
-    sample = joined.filter(F.col("text").isNotNull()).select("text", "grade").mapInPandas(features, "grade int, key long, bucket array<int>, value array<float>").toArrow()
+    read = joined.filter(F.col("text").isNotNull()).select(F.xxhash64("_rated_id").alias("id_hash"), "text", "grade")
+    found = read.mapInPandas(features, "id_hash long, grade int, key long, bucket array<int>, value array<float>")
+    order = ["id_hash", "grade", "key"]
+    sample = found.dropDuplicates(order).toArrow().sort_by([(c, "ascending") for c in order])
     grades = sample["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None, 0.0

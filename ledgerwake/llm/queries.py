@@ -48,7 +48,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade and tail chances of every document, and whether it reaches the cut. A null or empty text is graded by the thresholds alone. A document that is rated twice counts twice, one with a null id never; without ratings that tell anything apart all are kept."""
+    """Expected grade and tail chances of every document, and whether it reaches the cut. A null or empty text is graded by the thresholds alone. A document that is rated twice counts twice if the grades differ, else once; one with a null id never; without ratings that tell anything apart all are kept."""
     docs = table(spark, sf_dir, "documents")
     ratings = table(spark, sf_dir, "labels").select("doc_id", quality_classifier.grade_column().alias("grade"))
     model, cut = quality_classifier.fit(docs, ratings)

@@ -52,6 +52,17 @@ def test_select_good(docs_of, spark):
     assert quality_classifier.select_good(docs, ratings.limit(0)).count() == len(texts)
 
 
+def test_repeated_rows_and_ratings_count_once(docs_of, spark):
+    texts = ["fine words here", "vile words here"] * 60
+    docs = docs_of(texts)
+    ratings = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(0).alias("grade"))
+    many = F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") == 1, 500).otherwise(1)))
+    once, cut = quality_classifier.fit(docs, ratings)
+    again, same_cut = quality_classifier.fit(docs.withColumn("n", many), ratings.withColumn("n", many))
+    assert np.array_equal(once.buckets, again.buckets) and np.array_equal(once.weights, again.weights) and np.array_equal(once.thresholds, again.thresholds)
+    assert cut == same_cut and len(once.buckets)
+
+
 def test_starts_of_words():
     extract, n = quality_classifier.Features(), 6
     value = dict(zip(*map(np.ndarray.tolist, extract("vilefully vileful, vile fine Vileful-ness x"))))
