@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import sqrt
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ START = 5
 LEAST_CHANCE, LEAST_CUT = 0.85, 0.5
 #: Parts of the ratings; each is graded by a model of the others to find the cut.
 N_FOLDS = 4
+#: Entries that the driver works on at a time, and tasks in which the sample is told apart.
+SLICE, SAMPLE_TASKS = 1 << 20, 32
 _CORE = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+", re.S)
 
@@ -105,6 +108,15 @@ def _slopes(level: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np
     return up * (1 - up) / p, -low * (1 - low) / p
 
 
+def _summed(column: np.ndarray, n: int, weights: Callable[[slice], np.ndarray] | None = None) -> np.ndarray:
+    """np.bincount of the column, SLICE entries at a time, so that its copies stay small; weights gives those of a slice."""
+    total = np.zeros(n, np.float64 if weights else np.int64)
+    for at in range(0, len(column), SLICE):
+        own = slice(at, at + SLICE)
+        total += np.bincount(column[own], weights(own) if weights else None, n)
+    return total
+
+
 def _climb(column: np.ndarray, owner: np.ndarray, x: np.ndarray, grades: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Adam on weights and thresholds (the first one and the logarithms of the gaps), from where they are."""
     d, n, n_grades = len(w), len(grades), len(cuts) + 1
@@ -128,7 +140,7 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades
     least_z join it, the strongest first and at most as many as it has, and all weights are fitted anew. Buckets of fewer than
     least_docs rows never do. Grades that don't occur make their threshold gap shrink to about 0.
     """
-    keep = np.bincount(bucket, minlength=N_BUCKETS) >= least_docs
+    keep = _summed(bucket, N_BUCKETS) >= least_docs
     buckets, used = np.flatnonzero(keep), keep[bucket]
     place = np.cumsum(keep, dtype=np.int32) - 1
     column, owner, x = place[bucket[used]], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[used], value[used]
@@ -137,11 +149,11 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades
     below = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
     start = np.log(below / (1 - below))
     cuts = start[0] + np.r_[0, np.cumsum(np.maximum(np.diff(start), 0.1))]
-    norm, w, active = np.sqrt(np.bincount(column, x * x, d)), np.zeros(d), np.zeros(d, bool)
+    norm, w, active = np.sqrt(_summed(column, d, lambda own: x[own] * x[own])), np.zeros(d), np.zeros(d, bool)
     while active.sum() < most_buckets:
         inside = np.flatnonzero(active[column])
         slope = -np.add(*_slopes(np.bincount(owner[inside], w[column[inside]] * x[inside], n), cuts, grades))
-        z = np.abs(np.bincount(column, slope[owner] * x, d)) / (norm * np.sqrt(np.mean(slope**2)) + 1e-12)
+        z = np.abs(_summed(column, d, lambda own: slope[owner[own]] * x[own])) / (norm * np.sqrt(np.mean(slope**2)) + 1e-12)
         z[active] = 0
         room = min(max(16, int(active.sum())), most_buckets - int(active.sum()))
         joining = np.argsort(-z, kind="stable")[:room]
@@ -216,18 +228,24 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
     part = most_rows / max(1, rated.count())
     drawn = rated.filter(unit_hash("_rated_id", seed=5) < part)
 
+    order = ["id_hash", "grade", "key"]
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = Features()
+        extract, seen = Features(), set()
         for rows in batches:
-            found = [extract(x) for x in rows["text"]]
-            keys = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in rows["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"id_hash": rows["id_hash"].to_numpy(), "grade": rows["grade"].to_numpy(), "key": keys, "bucket": [f[0].astype(np.int32) for f in found], "value": [f[1] for f in found]})
+            new = []
+            for k, own in enumerate(zip(rows["id_hash"].tolist(), rows["grade"].tolist(), rows["key"].tolist())):
+                if own not in seen:
+                    seen.add(own)
+                    new.append(k)
+            found = [extract(x) for x in rows["text"].iloc[new]]
+            yield rows[order].iloc[new].assign(bucket=[f[0].astype(np.int32) for f in found], value=[f[1] for f in found])
 
     joined = docs.select(F.col(id_col).alias("_doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc_id") == F.col("_rated_id"))
-    read = joined.filter(F.col("text").isNotNull()).select(F.xxhash64("_rated_id").alias("id_hash"), "text", "grade")
+    read = joined.filter(F.col("text").isNotNull()).select(F.xxhash64("_rated_id").alias("id_hash"), "grade", F.xxhash64("text").alias("key"), "text")
     found = read.mapInPandas(features, "id_hash long, grade int, key long, bucket array<int>, value array<float>")
-    order = ["id_hash", "grade", "key"]
-    sample = found.dropDuplicates(order).toArrow().sort_by([(c, "ascending") for c in order])
+    # a task gives each row once, so that a repeated one doesn't bring its likes together here
+    sample = found.repartition(SAMPLE_TASKS, *order).dropDuplicates(order).sortWithinPartitions(*order).toArrow()
     grades = sample["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None, 0.0
@@ -235,6 +253,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample["bucket"].chunks])
     bucket, value, keys = flat("bucket"), flat("value"), sample["key"].to_numpy()
     del sample
+    pa.default_memory_pool().release_unused()
     model = fit_ordinal(bucket, value, sizes, grades, n_grades)
     if not len(model.buckets):
         return model, 0.0
