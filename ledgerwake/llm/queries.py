@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, jaccard_join, katz, language_id, mixing, pii, quality_classifier, repetition, warc
+from . import byte_bpe, fill_in_middle, fingerprint, jaccard_join, katz, language_id, mixing, pii, quality_classifier, repetition, warc
 from .common import crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -99,7 +99,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its fill-in-middle form, and the text read back out of it. A null or empty text is plain; a null doc_id draws like the empty text."""
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), with_output=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_mixing": """
@@ -124,4 +129,27 @@ ORACLE_SQL = {
         )
         SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy_no FROM counted
     """,
+    "op13_fill_in_middle": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+        ), units AS (
+            SELECT *, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS sizes,
+                list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(digest, k, 8) AS BIGINT)) AS h
+            FROM drawn
+        ), placed AS (
+            SELECT *, len(sizes) AS n, least(h[1] % (len(sizes) + 1), h[2] % (len(sizes) + 1)) AS a, greatest(h[1] % (len(sizes) + 1), h[2] % (len(sizes) + 1)) AS b,
+                CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), measured AS (
+            SELECT *, CASE WHEN form <> 'plain' THEN CAST(coalesce(list_sum(sizes[1:a]), 0) AS BIGINT) END AS prefix_chars,
+                CASE WHEN form <> 'plain' THEN CAST(coalesce(list_sum(sizes[a + 1:b]), 0) AS BIGINT) END AS middle_chars
+            FROM placed
+        ), parts AS (
+            SELECT *, substr(text, 1, prefix_chars) AS prefix, substr(text, prefix_chars + 1, middle_chars) AS middle, substr(text, prefix_chars + middle_chars + 1) AS suffix FROM measured
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, prefix_chars, middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
