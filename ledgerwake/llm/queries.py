@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fill_in_middle, fingerprint, jaccard_join, katz, language_id, mixing, pii, quality_classifier, repetition, warc
-from .common import crc_mod, table
+from . import byte_bpe, fill_in_middle, fingerprint, jaccard_join, katz, language_id, mixing, periodic_runs, pii, quality_classifier, repetition, warc
+from .common import WORD_SQL, crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
@@ -99,12 +99,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
 
+def _with_tail_repeated(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of a document in ten, told by its id, the words from some place on are those of a stretch that repeats."""
+    own = F.expr(f"regexp_extract_all(text, '{WORD_SQL}', 0)".replace("\\", "\\\\"))
+    h, n = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.size(own)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(own, a + 1, period), F.ceil((n - a) / period).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(own, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, one in ten of them with a repeated tail, and what is left of it without the repetitions. A null or empty text has no runs; a null doc_id counts as the empty text for the draw."""
+    r, one = F.col("r"), F.col("longest")
+    found = _with_tail_repeated(table(spark, sf_dir, "documents")).select("doc_id", periodic_runs.runs_column(F.col("text")).alias("r"))
+    lines = F.array_join(F.transform(r.runs, lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string"))), "\n")
+    told = F.when(F.size(r.runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("longest", periodic_runs.longest(r.runs)).select(
+        "doc_id", F.size(r.runs).cast("long").alias("n_runs"), one.start.alias("start"), one.length.alias("length"), one.period.alias("period"),
+        F.floor(1000 * one.length / one.period).cast("long").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2(r.collapsed, 256).alias("collapsed_sha256"), r.n_words.alias("n_words"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as its fill-in-middle form, and the text read back out of it. A null or empty text is plain; a null doc_id draws like the empty text."""
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), with_output=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing, op11_periodic_runs, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_mixing": """
