@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fill_in_middle, fingerprint, jaccard_join, katz, language_id, mixing, periodic_runs, pii, quality_classifier, repetition, warc
+from . import byte_bpe, fill_in_middle, fingerprint, jaccard_join, katz, language_id, minmax_dedup, mixing, periodic_runs, pii, quality_classifier, repetition, warc
 from .common import WORD_SQL, crc_mod, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -123,12 +123,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document's set of shingles, and the class that links of 85 % lead to. One without words stands alone."""
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as its fill-in-middle form, and the text read back out of it. A null or empty text is plain; a null doc_id draws like the empty text."""
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), with_output=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing, op11_periodic_runs, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_warc, op4_language_id, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_fingerprint, op9_katz, op10_mixing, op11_periodic_runs, op12_minmax_dedup, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_mixing": """
