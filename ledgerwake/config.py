@@ -17,11 +17,12 @@ DECAY_HORIZONS = (1, 3, 5, 10, 21)
 
 @dataclass(frozen=True)
 class MarketData:
-    """Prices and funding rates, each as a long DataFrame (ts, asset, value) or as a wide pandas frame or series. funding_rates None means no funding."""
+    """Prices and funding rates, each as a long DataFrame (ts, asset, value) or as a wide pandas frame or series. funding_rates None means no funding. time_zone: where the calendar of instants is read; None for that of a pandas index, or else the session's."""
 
     close_prices: Any
     exec_prices: Any
     funding_rates: Any = None
+    time_zone: str | None = None
 
 
 @dataclass(frozen=True)

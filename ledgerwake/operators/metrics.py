@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SimConfig
 from ..functions.stats import compound, kurtosis, power, ratio, skewness
+from ..functions.zones import wall_time, zone_of
 from . import curves, signal
 
 # Category, name, column of the facts, and what it is, in the order of the table.
@@ -102,8 +103,9 @@ def period_facts(periods: DataFrame, config: SimConfig, tail: bool = True) -> Da
     af, ret = config.annual_factor, F.col("ret")
     year, init = F.lit(float(af)), F.lit(float(config.init_cash))
     marked = curves.with_drawdown(periods)
+    shown = lambda ts: wall_time(ts, zone_of(periods))
     sums = marked.groupBy("run_id").agg(
-        F.min("ts").alias("start_date"), F.max("ts").alias("end_date"), F.min(F.when(F.col("order_count") > 0, F.col("ts"))).alias("first_transaction"),
+        shown(F.min("ts")).alias("start_date"), shown(F.max("ts")).alias("end_date"), shown(F.min(F.when(F.col("order_count") > 0, F.col("ts")))).alias("first_transaction"),
         F.count(F.lit(1)).cast("double").alias("n"), compound(1 + ret).alias("growth"), (F.stddev_samp(ret) * F.sqrt(year)).alias("volatility"),
         (F.min("drawdown") * 100).alias("max_drawdown_pct"), F.max_by("equity", "t_idx").alias("last"),
         F.sum("funding").alias("funding_earned"), F.sum("fees").alias("fees_paid"), F.sum("slippage").alias("slipped"), F.avg("funding").alias("funding_mean"),

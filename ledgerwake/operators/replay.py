@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import SimConfig
 from ..functions.stats import by_asset, by_time, ratio
+from ..functions.zones import with_zone, zone_of
 
 SCHEMA = """
     run_id string, t_idx int, ts {ts}, equity_before double, equity double, cash double, fees double, funding double, slippage double, turnover double,
@@ -94,7 +95,7 @@ def replay(panel: DataFrame, config: SimConfig) -> DataFrame:
                 yield pd.DataFrame(rows, columns=_FIELDS)
 
     ordered = panel.select("run_id", "t_idx", "ts", "asset_idx", *values).repartition("run_id").sortWithinPartitions("run_id", "t_idx", "asset_idx")
-    return ordered.mapInPandas(run, SCHEMA.format(ts=kind))
+    return with_zone(ordered.mapInPandas(run, SCHEMA.format(ts=kind)), zone_of(panel))
 
 
 def periods(replayed: DataFrame) -> DataFrame:

@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SimConfig
+from ..functions import zones
 
 
-def _end_of(end: str) -> Column:
-    """The first instant after a text bound: a bare date covers its whole day, a bare month or year likewise; other texts cover the second that they name."""
-    unit = {4: "1 year", 7: "1 month", 10: "1 day", 16: "1 minute"}.get(len(end), "1 second")
-    padded = {4: f"{end}-01-01", 7: f"{end}-01"}.get(len(end), end)
-    return F.to_timestamp_ntz(F.lit(padded)) + F.expr(f"interval {unit}")
+def _padded(label: str) -> str:
+    return {4: f"{label}-01-01", 7: f"{label}-01"}.get(len(label), label)
+
+
+def _end_of(end: str) -> pd.Timestamp:
+    """The first moment after a text bound: a bare date covers its whole day, a bare month or year likewise; other texts cover the second that they name."""
+    unit = {4: "years", 7: "months", 10: "days", 16: "minutes"}.get(len(end), "seconds")
+    return pd.Timestamp(_padded(end)) + pd.DateOffset(**{unit: 1})
 
 
 def by_label(panel: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """Periods from start to end, both included; the labels need not be there."""
-    at = F.col("ts").cast("timestamp_ntz")
+    """Periods from start to end, both included; the labels need not be there. Of instants, labels are wall times of the panel's zone, unless they name one of their own."""
+    zone = zones.zone_of(panel)
     if start is not None:
-        panel = panel.filter(at >= F.lit(start if len(start) > 7 else {4: f"{start}-01-01", 7: f"{start}-01"}[len(start)]).cast("timestamp_ntz"))
+        panel = panel.filter(F.col("ts") >= zones.at(_padded(start), zone))
     if end is not None:
-        panel = panel.filter(at < (_end_of(end) if re.fullmatch(r"[\d-]+([ T][\d:]+)?", end) else F.lit(end).cast("timestamp_ntz")))
+        panel = panel.filter(F.col("ts") < zones.at(_end_of(end) if re.fullmatch(r"[\d-]+([ T][\d:]+)?", end) else end, zone))
     return panel
 
 

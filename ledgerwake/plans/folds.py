@@ -10,10 +10,11 @@ from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FoldConfig, MarketData, SimConfig
+from ..functions import zones
 from ..operators import metrics, slicing
 from ..sources.frames import market_panel
 from ..sources.written import written
@@ -29,6 +30,8 @@ DEFAULT_AGGREGATE_METRICS = [
 ]
 # Months of the calendar units.
 _MONTHS = {"ME": 1, "M": 1, "MS": 1, "QE": 3, "Q": 3, "QS": 3, "YE": 12, "Y": 12, "A": 12, "YS": 12}
+#: Rows of three numbers up to which the folds' bounds are broadcast.
+MOST_BROADCAST = 500_000
 _FIXED = {"D": timedelta(days=1), "h": timedelta(hours=1), "H": timedelta(hours=1), "min": timedelta(minutes=1), "T": timedelta(minutes=1)}
 
 
@@ -61,20 +64,54 @@ def boundaries(start: datetime, end: datetime, fold_period: str, align_start: bo
         at += by
 
 
-def with_folds(panel: DataFrame, bounds: DataFrame, min_periods: int) -> DataFrame:
-    """The panel with each fold as a run of its own; fold_index counts those of at least min_periods. bounds: (lo, hi), hi null in the last one. Only the periods, not the panel, are compared with the bounds, which are as few as the folds that a list of the driver names."""
-    at = F.col("ts").cast("timestamp_ntz")
-    dated = panel.select("ts").distinct().join(F.broadcast(bounds), (at >= F.col("lo")) & (F.col("hi").isNull() | (at < F.col("hi"))))
-    sized = dated.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("lo"))).filter(F.col("_n") >= min_periods)
-    starts = sized.select("lo").distinct().withColumn("fold_index", (F.row_number().over(Window.orderBy("lo")) - 1).cast("int"))
-    cut = panel.drop("run_id").join(sized.join(starts, "lo").select("ts", "fold_index"), "ts")
+def zoned_boundaries(start: pd.Timestamp, end: pd.Timestamp, fold_period: str, align_start: bool = True) -> list[pd.Timestamp]:
+    """boundaries() in the zone of start and end: calendar units follow its clocks, hours and minutes its instants."""
+    zone = start.tz
+    if zone is None:
+        return [pd.Timestamp(t) for t in boundaries(start.to_pydatetime(), end.to_pydatetime(), fold_period, align_start)]
+    local = [zones.localized(pd.Timestamp(t), zone) for t in boundaries(*(t.tz_localize(None).to_pydatetime() for t in (start, end)), fold_period, align_start)]
+    m = re.fullmatch(r"(\d*)([A-Za-z]+)", fold_period)
+    if not local or m[2] not in ("h", "H", "min", "T"):
+        return local
+    by = int(m[1] or 1) * _FIXED[m[2]]
+    return list(pd.date_range(local[0], end + timedelta(days=1), freq=pd.Timedelta(by)))
+
+
+def span_of(panel: DataFrame) -> tuple[pd.Timestamp, pd.Timestamp]:
+    """First and last period, in the panel's zone."""
+    span, zone = panel.agg(F.min(_micros(panel)).alias("a"), F.max(_micros(panel)).alias("b")).first(), zones.zone_of(panel)
+    moment = lambda us: pd.Timestamp(us, unit="us") if zone is None else pd.Timestamp(us, unit="us", tz="UTC").tz_convert(zone)
+    return moment(span["a"]), moment(span["b"])
+
+
+def _micros(panel: DataFrame) -> Column:
+    """Microseconds from 1970 on to ts: of wall times by their own clock."""
+    if zones.zone_of(panel) is None:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return F.unix_micros("ts")
+
+
+def with_folds(panel: DataFrame, stamps: list[pd.Timestamp], min_periods: int) -> DataFrame:
+    """The panel with each fold as a run of its own; fold_index counts those of at least min_periods. A fold reaches from one of the rising stamps to the next, the last one to the end.
+
+    Time is cut in buckets as long as the shortest fold, so that a fold lies in a few of them: periods find their fold by their
+    bucket, and only periods, not the panel, are joined with the folds that a list of the driver names.
+    """
+    spark = panel.sparkSession
+    edges = [t.value // 1000 for t in stamps]
+    last = panel.agg(F.max(_micros(panel))).first()[0]
+    spans = [(a, b) for a, b in zip(edges, [*edges[1:], max(edges[-1:] + [last or 0]) + 1])] if edges else []
+    width = max(1, min((b - a for a, b in spans), default=1), (spans[-1][1] - spans[0][0]) // (4 * len(spans) + 1) if spans else 1)
+    rows = [(k, a, b) for a, b in spans for k in range(a // width, (b - 1) // width + 1)]
+    bounds = spark.createDataFrame(rows, "_bucket long, lo long, hi long")
+    periods = panel.select("ts", _micros(panel).alias("_at")).distinct().withColumn("_bucket", F.floor(F.col("_at") / width))
+    dated = periods.join(F.broadcast(bounds) if len(rows) <= MOST_BROADCAST else bounds, "_bucket").filter("_at >= lo and _at < hi").select("ts", "lo")
+    sizes = dated.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_periods)
+    starts = sizes.withColumn("fold_index", (F.row_number().over(Window.orderBy("lo")) - 1).cast("int"))
+    cut = panel.drop("run_id").join(dated.join(starts, "lo").select("ts", "fold_index"), "ts")
     return slicing.renumbered(cut.withColumn("run_id", F.concat(F.lit("fold-"), F.col("fold_index")))).select("fold_index", *panel.columns)
 
 
-def bounds_table(spark: SparkSession, stamps: list[datetime]) -> DataFrame:
-    return spark.createDataFrame(list(zip(stamps, [*stamps[1:], None])), "lo timestamp_ntz, hi timestamp_ntz")
-
-
 @dataclass(frozen=True)
 class FoldResult:
     fold_index: int
@@ -106,8 +143,9 @@ def aggregated(tall: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fold_rows(panel: DataFrame) -> DataFrame:
-    """(fold_index, run_id, start_period, end_period, n_periods) of a panel that has folds."""
-    return panel.groupBy("fold_index", "run_id").agg(F.min("ts").alias("start_period"), F.max("ts").alias("end_period"), (F.max("t_idx") + 1).cast("long").alias("n_periods"))
+    """(fold_index, run_id, start_period, end_period, n_periods) of a panel that has folds; the periods as clocks in its zone show them."""
+    zone = zones.zone_of(panel)
+    return panel.groupBy("fold_index", "run_id").agg(zones.wall_time(F.min("ts"), zone).alias("start_period"), zones.wall_time(F.max("ts"), zone).alias("end_period"), (F.max("t_idx") + 1).cast("long").alias("n_periods"))
 
 
 @dataclass(frozen=True)
@@ -143,12 +181,11 @@ def walk_forward(*, weights: Any, market: MarketData, config: SimConfig | None =
     """Simulates every fold from the initial cash anew, and the whole if asked. In folds, the settings of the signal's diagnostics are the default ones. A ValueError if no fold has enough periods."""
     spark, config, fold_config = spark or SparkSession.active(), config or SimConfig(), fold_config or FoldConfig()
     panel = checked(written(slicing.sliced(market_panel(spark, weights, market), config), "panel"), config)
-    span = panel.agg(F.min("ts").cast("timestamp_ntz").alias("a"), F.max("ts").cast("timestamp_ntz").alias("b")).first()
-    stamps = list(boundaries(span["a"], span["b"], fold_config.fold_period, fold_config.align_start))
+    stamps = zoned_boundaries(*span_of(panel), fold_config.fold_period, fold_config.align_start)
     none = ValueError(f"no fold of {fold_config.fold_period} has {fold_config.min_periods} periods")
     if not stamps:
         raise none
-    cut = with_folds(panel, bounds_table(spark, stamps), max(3, fold_config.min_periods))
+    cut = with_folds(panel, stamps, max(3, fold_config.min_periods))
     cut = written(cut, "folds")
     rows = fold_rows(cut).orderBy("fold_index").collect()
     if not rows:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .config import FoldConfig, MarketData, SimConfig
+from .functions import zones
 from .functions.stats import by_asset, ratio
 from .operators import curves, metrics, replay, signal, slicing
 from .plans import folds, grid, results
@@ -48,7 +49,8 @@ def query(columns: str, sql: str | None = None):
 
 
 def panel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.market(spark, sf_dir)
+    """The market of months and brands, written once for all that a query makes of it."""
+    return written(market.market(spark, sf_dir), "panel")
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,15 @@ def slice_label(spark, sf_dir):
     return slicing.sliced(panel_of(spark, sf_dir), SimConfig(start_period="1996-03-15", end_period="1997-03-01"))
 
 
+@query(f"{CELL} | close", "SELECT * REPLACE (t_idx - min(t_idx) OVER () AS t_idx, ts + INTERVAL 9 HOUR AS ts) FROM panel WHERE ts + INTERVAL 9 HOUR >= '1996-04-01 10:00' AND ts + INTERVAL 9 HOUR < '1997-03-02'")
+def slice_zoned(spark, sf_dir):
+    """Months that begin in London, cut by labels of Tokyo, nine hours ahead, and shown by its clocks."""
+    panel = panel_of(spark, sf_dir)
+    instants = zones.with_zone(panel.withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))), "Asia/Tokyo")
+    cut = slicing.sliced(instants, SimConfig(start_period="1996-04-01 10:00", end_period="1997-03-01"))
+    return cut.withColumn("ts", zones.wall_time(F.col("ts"), zones.zone_of(cut)))
+
+
 @query(f"{CELL} | close", "SELECT * REPLACE (t_idx - 3 AS t_idx) FROM panel WHERE t_idx >= 3 AND t_idx < (SELECT max(t_idx) FROM panel) - 4")
 def slice_positional(spark, sf_dir):
     return slicing.sliced(panel_of(spark, sf_dir), SimConfig(start_period=3, end_period=-5))
@@ -424,9 +435,7 @@ def synthetic_market(spark, sf_dir):
 
 def _fold_panel(spark, sf_dir):
     panel = panel_of(spark, sf_dir)
-    span = panel.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    stamps = list(folds.boundaries(span["a"], span["b"], "1YE"))
-    return folds.with_folds(panel, folds.bounds_table(spark, stamps), 3)
+    return folds.with_folds(panel, folds.zoned_boundaries(*folds.span_of(panel), "1YE"), 3)
 
 
 def _fold_facts(spark, sf_dir):

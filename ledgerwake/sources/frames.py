@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import MarketData
 from ..functions.stats import finite
+from ..functions.zones import with_zone
 from .written import written
 
 PANEL = ["run_id", "t_idx", "ts", "asset", "asset_idx", "weight", "close", "exec", "funding"]
@@ -66,7 +67,7 @@ def market_panel(spark: SparkSession, weights: Any, market: MarketData) -> DataF
         raise ValueError("each period must hold each asset once")
     if n_periods < 3:
         raise ValueError("at least 3 periods are needed")
-    cells = cells.select("ts", "asset", *names)
+    cells = with_zone(cells.select("ts", "asset", *names), market.time_zone or index_zone(market.close_prices))
     if "funding" not in names:
         cells = cells.withColumn("funding", F.lit(0.0))
     if "asset_order" not in close.columns:
@@ -74,6 +75,12 @@ def market_panel(spark: SparkSession, weights: Any, market: MarketData) -> DataF
     return numbered(cells.join(close.groupBy("asset").agg(F.min("asset_order").alias("asset_order")), "asset"), "asset_order")
 
 
+def index_zone(x: Any) -> str | None:
+    """The name of a pandas index's time zone."""
+    zone = getattr(getattr(x, "index", None), "tz", None)
+    return None if zone is None else str(zone)
+
+
 def numbered(cells: DataFrame, asset_order: str = "asset", run_id: str = "run") -> DataFrame:
     """The panel of one run from dense cells (ts, asset, weight, close, exec, funding). Only the tables of distinct periods and of distinct assets, which grow with neither's product, are numbered in one task."""
     periods = cells.select("ts").distinct().withColumn("t_idx", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
