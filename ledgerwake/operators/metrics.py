@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..config import SimConfig
 from ..functions.stats import compound, kurtosis, power, ratio, skewness
 from ..functions.zones import wall_time, zone_of
+from ..sources.written import written
 from . import curves, signal
+from .selection import quantile
 
 # Category, name, column of the facts, and what it is, in the order of the table.
 METRICS = [
@@ -99,7 +101,7 @@ def columns_of(category: str) -> list[str]:
 
 
 def period_facts(periods: DataFrame, config: SimConfig, tail: bool = True) -> DataFrame:
-    """What one pass over the periods gives, and what follows from it; the mean of the tail takes a second one."""
+    """What one pass over the periods gives, and what follows from it; with tail, the returns' 5 % quantile and the mean up to it too."""
     af, ret = config.annual_factor, F.col("ret")
     year, init = F.lit(float(af)), F.lit(float(config.init_cash))
     marked = curves.with_drawdown(periods)
@@ -116,7 +118,7 @@ def period_facts(periods: DataFrame, config: SimConfig, tail: bool = True) -> Da
         skewness(ret).alias("skewness"), kurtosis(ret).alias("kurtosis"), F.max(ret).alias("best_return"), F.min(ret).alias("worst_return"),
         F.count_if(ret > 0).alias("wins"), F.count_if(ret < 0).alias("losses"),
         F.sum(F.greatest(ret, F.lit(0.0))).alias("gained"), F.sum(F.least(ret, F.lit(0.0))).alias("lost"),
-        (F.stddev_samp(F.when(ret < 0, ret)) * F.sqrt(year)).alias("_downside"), F.percentile(ret, F.lit(0.05)).alias("var_95"),
+        (F.stddev_samp(F.when(ret < 0, ret)) * F.sqrt(year)).alias("_downside"),
         F.sqrt(F.avg(F.pow(100 * F.col("drawdown"), F.lit(2.0)))).alias("_ulcer"),
     )
     c, rf = F.col, config.risk_free_rate
@@ -136,8 +138,8 @@ def period_facts(periods: DataFrame, config: SimConfig, tail: bool = True) -> Da
     })
     if not tail:
         return out
-    worst = periods.join(out.select("run_id", "var_95"), "run_id").filter("ret <= var_95").groupBy("run_id").agg(F.avg("ret").alias("cvar_95"))
-    return out.join(worst, "run_id", "left")
+    worst = quantile(written(periods.select("run_id", "ret"), "returns"), ["run_id"], "ret", 0.05)
+    return out.join(worst.select("run_id", F.col("quantile").alias("var_95"), (F.col("tail_sum") / F.col("tail_count")).alias("cvar_95")), "run_id", "left")
 
 
 def benchmark_facts(periods: DataFrame, panel: DataFrame, config: SimConfig) -> DataFrame:

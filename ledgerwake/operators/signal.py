@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.stats import average_rank, by_asset, correlation, ratio, t_stat, t_stat_over, trailing
+from ..sources.written import written
+from .selection import quantile
 
 N_DECILES = 10
 
@@ -68,14 +70,15 @@ def decile_curves(panel: DataFrame) -> DataFrame:
     """(run_id, decile from 1, mean, median, std, count, contrib, contrib_long, contrib_short), pooled over all periods; all ten deciles of each run."""
     keys = ["run_id", "t_idx"]
     w, r = F.col("weight"), F.col("forward")
-    rows = with_deciles(active(forward_returns(panel)), keys).filter("decile is not null")
+    rows = written(with_deciles(active(forward_returns(panel)), keys).filter("decile is not null").select("run_id", (F.col("decile") + 1).alias("decile"), "weight", "forward"), "deciles")
     share = lambda own: ratio(F.sum(F.when(own, w * r).otherwise(0.0)), F.count(F.lit(1)).cast("double"))
-    curves = rows.groupBy("run_id", (F.col("decile") + 1).alias("decile")).agg(
-        F.avg(r).alias("mean"), F.median(r).alias("median"), F.stddev_samp(r).alias("std"), F.count(F.lit(1)).alias("count"),
+    medians = quantile(rows, ["run_id", "decile"], "forward", 0.5).select("run_id", "decile", F.col("quantile").alias("median"))
+    curves = rows.groupBy("run_id", "decile").agg(
+        F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.count(F.lit(1)).alias("count"),
         share(F.lit(True)).alias("contrib"), share(w > 0).alias("contrib_long"), share(w < 0).alias("contrib_short"),
     )
     ladder = panel.select("run_id").distinct().withColumn("decile", F.explode(F.sequence(F.lit(1), F.lit(N_DECILES))))
-    return ladder.join(curves, ["run_id", "decile"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return ladder.join(curves, ["run_id", "decile"], "left").join(medians, ["run_id", "decile"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def alpha_decay(panel: DataFrame, max_lag: int = 10) -> DataFrame:
