@@ -6,12 +6,8 @@ assets on. Returns are those of raw closes: a gap isn't filled. Where all weight
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.stats import average_rank, by_asset, correlation, ratio, t_stat, t_stat_over, trailing
 from ..sources.written import written
@@ -148,29 +144,3 @@ def summary(sections: DataFrame, periods: DataFrame, cost_per_turnover: float) -
         mean("gross_weight").alias("gross_weight_mean"), mean("directionality").alias("directionality_mean"),
         mean(F.col("ic") * (1 - cost)).alias("adjusted_ic_mean"), mean(per_gross - cost).alias("net_per_gross_mean"),
     )
-
-
-def ewma(panel: DataFrame, column: str, into: str, decay: float, least_periods: int = 1) -> DataFrame:
-    """The panel with the exponentially weighted mean of a column over each asset's whole history, as pandas' ewm(adjust=False, min_periods).
-
-    Mean = decay * mean before + (1 - decay) * value, from the first known value on. A missing value leaves the mean as it is,
-    while what it is made of ages. Null until least_periods values are known. An asset's rows come sorted and its state is
-    carried from batch to batch, so a task holds a batch and three numbers.
-    """
-
-    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, mean, weight, known = None, 0.0, 1.0, 0
-        for batch in batches:
-            means = []
-            for *key, value in zip(batch["run_id"].to_pylist(), batch["asset_idx"].to_pylist(), batch[column].to_pylist()):
-                if key != of:
-                    of, mean, weight, known = key, 0.0, 1.0, 0
-                weight *= decay
-                if value is not None and abs(value) < float("inf"):
-                    mean = (weight * mean + (1 - decay) * value) / (weight + 1 - decay) if known else value
-                    weight, known = 1.0, known + 1
-                means.append(mean if known >= max(1, least_periods) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, pa.float64())], [*batch.schema.names, into])
-
-    ordered = panel.repartition("run_id", "asset_idx").sortWithinPartitions("run_id", "asset_idx", "t_idx")
-    return ordered.mapInArrow(smooth, StructType([*panel.schema.fields, StructField(into, DoubleType())]))

@@ -16,7 +16,7 @@ from . import oracle
 from .config import FoldConfig, MarketData, SimConfig
 from .functions import zones
 from .functions.stats import by_asset, ratio
-from .operators import curves, metrics, replay, signal, slicing
+from .operators import curves, metrics, replay, signal, slicing, smoothing
 from .plans import folds, grid, results
 from .plans.simulate import simulate
 from .sources import frames, market, synthetic
@@ -310,13 +310,13 @@ def _changed(spark, sf_dir):
 @query(f"{CELL} | ewma", oracle.ewma(oracle.SPAN_DECAY, 1))
 def ewma_signal(spark, sf_dir):
     """The change in price as ewm(span=12, adjust=False) smooths it."""
-    return signal.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.SPAN_DECAY)
+    return smoothing.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.SPAN_DECAY)
 
 
 @query(f"{CELL} | ewma", oracle.ewma(oracle.DECAY, oracle.LEAST_PERIODS))
 def ewma_whole(spark, sf_dir):
     """The same with a decay and a least number of known periods."""
-    return signal.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.DECAY, oracle.LEAST_PERIODS)
+    return smoothing.ewma(_changed(spark, sf_dir), "_c", "ewma", oracle.DECAY, oracle.LEAST_PERIODS)
 
 
 def _grid_panel(spark, sf_dir):
