@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from ..config import SimConfig
 from ..functions.stats import by_asset, by_time, ratio, so_far, trailing
 
+#: Periods of a chunk: what a window over a run's past brings together in one task.
+CHUNK = 100_000
 
-def with_drawdown(periods: DataFrame) -> DataFrame:
-    """Adds peak (the highest equity so far) and drawdown (equity over it, less 1)."""
-    return periods.withColumn("peak", F.max("equity").over(so_far(by_time()))).withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1)
+
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    return rows.withColumn("_chunk", F.floor(F.col("t_idx") / chunk).cast("int"))
+
+
+def with_drawdown(periods: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Adds peak (the highest equity so far) and drawdown (equity over it, less 1). A run is scanned in two levels: chunks of periods give their maxima, of which a row each is scanned in order, and each chunk starts from what those before it reached."""
+    rows = _chunked(periods, chunk)
+    carried = F.max("_most").over(Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    tops = rows.groupBy("run_id", "_chunk").agg(F.max("equity").alias("_most")).select("run_id", "_chunk", carried.alias("_carried"))
+    own = F.max("equity").over(so_far(Window.partitionBy("run_id", "_chunk").orderBy("t_idx")))
+    out = rows.join(tops, ["run_id", "_chunk"]).withColumn("peak", F.greatest("_carried", own))
+    return out.withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1).select(*periods.columns, "peak", "drawdown")
 
 
 def rolling_sharpe(periods: DataFrame, config: SimConfig, window: int = 30, least: int = 6) -> DataFrame:
@@ -62,22 +74,34 @@ def artifacts(periods: DataFrame, positions: DataFrame, panel: DataFrame) -> Dat
     return with_drawdown(periods).withColumn("transaction_costs", costs).join(exposures(positions).drop("ts"), ["run_id", "t_idx"]).join(weight_counts(panel), ["run_id", "t_idx"])
 
 
-def island_lengths(rows: DataFrame, keys: list[str], state: str) -> DataFrame:
-    """(keys, state, start, length) of each stretch of equal states in time."""
-    w = Window.partitionBy(*keys).orderBy("t_idx")
-    marked = rows.select(*keys, "t_idx", state, F.when(F.col(state).eqNullSafe(F.lag(state).over(w)), 0).otherwise(1).alias("_new"))
-    return marked.withColumn("_island", F.sum("_new").over(so_far(w))).groupBy(*keys, "_island").agg(F.first(state).alias(state), F.min("t_idx").alias("start"), F.count(F.lit(1)).alias("length")).drop("_island")
+def island_lengths(rows: DataFrame, keys: list[str], state: str, chunk: int = CHUNK) -> DataFrame:
+    """(keys, state, start, length) of each stretch of equal states in time.
+
+    Stretches are found in chunks of periods first. Only the first and the last one of a chunk can go on in the next one: those,
+    two a chunk, are joined in order, and all others are whole already.
+    """
+    own = _chunked(rows.select(*keys, "t_idx", state), chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("t_idx")
+    marked = own.withColumn("_new", F.when(F.col(state).eqNullSafe(F.lag(state).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    pieces = marked.withColumn("_piece", F.sum("_new").over(so_far(w))).groupBy(*keys, "_chunk", "_piece").agg(F.first(state).alias(state), F.min("t_idx").alias("start"), F.count(F.lit(1)).alias("length"))
+    last = F.max("_piece").over(Window.partitionBy(*keys, "_chunk"))
+    pieces = pieces.withColumn("_edge", (F.col("_piece") == 1) | (F.col("_piece") == last))
+    along = Window.partitionBy(*keys).orderBy("start")
+    goes_on = F.col(state).eqNullSafe(F.lag(state).over(along)) & (F.lag("_chunk").over(along) + 1 == F.col("_chunk")) & (F.lag("_piece").over(along) == F.lag("_last").over(along)) & (F.col("_piece") == 1)
+    edges = pieces.withColumn("_last", last).filter("_edge").withColumn("_new", F.when(goes_on, 0).otherwise(1))
+    joined = edges.withColumn("_island", F.sum("_new").over(so_far(along))).groupBy(*keys, "_island").agg(F.first(state).alias(state), F.min("start").alias("start"), F.sum("length").alias("length"))
+    return pieces.filter("not _edge").select(*keys, state, "start", "length").unionByName(joined.select(*keys, state, "start", "length"))
 
 
-def drawdown_durations(periods: DataFrame) -> DataFrame:
+def drawdown_durations(periods: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(run_id, drawdown_duration): the longest stretch of periods under water."""
-    under = with_drawdown(periods).withColumn("under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
-    return island_lengths(under, ["run_id"], "under").groupBy("run_id").agg(F.coalesce(F.max(F.when(F.col("under"), F.col("length"))), F.lit(0)).alias("drawdown_duration"))
+    under = with_drawdown(periods, chunk).withColumn("under", F.coalesce(F.col("drawdown") < 0, F.lit(False)))
+    return island_lengths(under, ["run_id"], "under", chunk).groupBy("run_id").agg(F.coalesce(F.max(F.when(F.col("under"), F.col("length"))), F.lit(0)).alias("drawdown_duration"))
 
 
-def recoveries(periods: DataFrame) -> DataFrame:
+def recoveries(periods: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(run_id, trough, peak_at, time_to_recovery): from the last period at the peak before the deepest drawdown (the first, if several are as deep) to the first one at or over it again; null if there is none, 0 without a drawdown."""
-    marked = with_drawdown(periods).select("run_id", "t_idx", "equity", "peak", "drawdown")
+    marked = with_drawdown(periods, chunk).select("run_id", "t_idx", "equity", "peak", "drawdown")
     trough = marked.groupBy("run_id").agg(F.min(F.struct(F.coalesce("drawdown", F.lit(0.0)).alias("d"), "t_idx", "peak")).alias("at"))
     trough = trough.select("run_id", F.col("at.d").alias("depth"), F.col("at.t_idx").alias("trough"), F.col("at.peak").alias("top"))
     both = marked.select("run_id", "t_idx", "equity").join(trough, "run_id")
@@ -88,9 +112,9 @@ def recoveries(periods: DataFrame) -> DataFrame:
     return found.select("run_id", "trough", "peak_at", F.when(F.col("depth") >= 0, 0).otherwise(F.col("back_at") - F.col("peak_at")).cast("double").alias("time_to_recovery"))
 
 
-def holding_periods(positions: DataFrame) -> DataFrame:
+def holding_periods(positions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(run_id, holding_period): mean length of the stretches in which an asset's position keeps its sign; null if none is ever held."""
     signed = positions.withColumn("side", F.signum("units"))
-    stretches = island_lengths(signed, ["run_id", "asset_idx"], "side").filter("side != 0")
+    stretches = island_lengths(signed, ["run_id", "asset_idx"], "side", chunk).filter("side != 0")
     return stretches.groupBy("run_id").agg(F.avg("length").alias("holding_period"))
 
