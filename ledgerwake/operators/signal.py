@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, by_asset, correlation, ratio, t_stat, t_stat_over, trailing
 from ..sources.written import written
+from .ranking import is_wide, ranks
 from .selection import quantile
 
 N_DECILES = 10
@@ -24,11 +25,21 @@ def active(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("weight") != 0) & F.col("forward").isNotNull())
 
 
-def with_deciles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds n (active assets) and decile, from 0: floor(10 i / n) of the i-th by weight, then by asset; null for fewer than 10."""
+def with_deciles(rows: DataFrame, keys: list[str], wide: bool = False) -> DataFrame:
+    """Adds n (active assets) and decile, from 0: floor(10 i / n) of the i-th by weight, then by asset; null for fewer than 10. wide: a period has more assets than one task should sort."""
+    return _with_decile(_placed(rows, keys, wide)).drop("_at", "weight_rank")
+
+
+def _placed(rows: DataFrame, keys: list[str], wide: bool) -> DataFrame:
+    """Adds n, weight_rank, and _at, the number of assets before by weight, then by asset."""
+    if wide:
+        return ranks(rows, keys, "weight", "asset_idx", "weight_rank", "_at", "n")
     across = Window.partitionBy(*keys)
-    place = F.row_number().over(across.orderBy("weight", "asset_idx")) - 1
-    return rows.withColumn("n", F.count(F.lit(1)).over(across)).withColumn("decile", F.when(F.col("n") >= N_DECILES, F.floor(place * N_DECILES / F.col("n")).cast("int")))
+    return rows.withColumns({"n": F.count(F.lit(1)).over(across), "_at": F.row_number().over(across.orderBy("weight", "asset_idx")) - 1, "weight_rank": average_rank("weight", keys)})
+
+
+def _with_decile(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("decile", F.when(F.col("n") >= N_DECILES, F.floor(F.col("_at") * N_DECILES / F.col("n")).cast("int")))
 
 
 def _core(keys: list[str]) -> tuple[Column, Column, Column]:
@@ -37,12 +48,14 @@ def _core(keys: list[str]) -> tuple[Column, Column, Column]:
     return correlation(F.col("weight"), F.col("forward")).alias("ic"), correlation(F.col("weight_rank"), F.col("forward_rank")).alias("rank_ic"), (edge(N_DECILES - 1) - edge(0)).alias("top_bottom_spread")
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return with_deciles(rows, keys).filter("n >= 2").withColumn("weight_rank", average_rank("weight", keys)).withColumn("forward_rank", average_rank("forward", keys))
+def _ranked(rows: DataFrame, keys: list[str], wide: bool) -> DataFrame:
+    own = _with_decile(_placed(rows, keys, wide)).drop("_at").filter("n >= 2")
+    return ranks(own, keys, "forward", "asset_idx", "forward_rank") if wide else own.withColumn("forward_rank", average_rank("forward", keys))
 
 
-def cross_sections(panel: DataFrame) -> DataFrame:
-    """One row for each run and period; all measures are null in periods with fewer than two active assets."""
+def cross_sections(panel: DataFrame, wide: bool | None = None) -> DataFrame:
+    """One row for each run and period; all measures are null in periods with fewer than two active assets. wide: whether a period has more assets than one task should sort; looked up if None."""
+    wide = is_wide(panel) if wide is None else wide
     keys = ["run_id", "t_idx"]
     w, r = F.col("weight"), F.col("forward")
     gross, net, paid = F.sum(F.abs(w)), F.sum(w), F.sum(w * r)
@@ -52,7 +65,7 @@ def cross_sections(panel: DataFrame) -> DataFrame:
         own = F.sum(F.when(ours, F.abs(w)))
         return [own.alias(f"{name}_gross_weight"), ratio(F.sum(F.when(ours, F.when(hits, F.abs(w)).otherwise(0.0))), own).alias(f"{name}_hit_weighted"), ratio(F.sum(F.when(ours, w * r)), own).alias(f"{name}_forward_return_per_gross")]
 
-    measured = _ranked(active(forward_returns(panel)), keys).groupBy(*keys).agg(
+    measured = _ranked(active(forward_returns(panel)), keys, wide).groupBy(*keys).agg(
         *_core(keys), gross.alias("gross_weight"), net.alias("net_weight"), ratio(net, gross).alias("directionality"),
         paid.alias("forward_return"), ratio(paid, gross).alias("forward_return_per_gross"),
         directional.alias("forward_return_directional"), ratio(directional, gross).alias("forward_return_directional_per_gross"),
@@ -62,11 +75,11 @@ def cross_sections(panel: DataFrame) -> DataFrame:
     return panel.select(*keys, "ts").distinct().join(measured, keys, "left")
 
 
-def decile_curves(panel: DataFrame) -> DataFrame:
+def decile_curves(panel: DataFrame, wide: bool | None = None) -> DataFrame:
     """(run_id, decile from 1, mean, median, std, count, contrib, contrib_long, contrib_short), pooled over all periods; all ten deciles of each run."""
     keys = ["run_id", "t_idx"]
     w, r = F.col("weight"), F.col("forward")
-    rows = written(with_deciles(active(forward_returns(panel)), keys).filter("decile is not null").select("run_id", (F.col("decile") + 1).alias("decile"), "weight", "forward"), "deciles")
+    rows = written(with_deciles(active(forward_returns(panel)), keys, is_wide(panel) if wide is None else wide).filter("decile is not null").select("run_id", (F.col("decile") + 1).alias("decile"), "weight", "forward"), "deciles")
     share = lambda own: ratio(F.sum(F.when(own, w * r).otherwise(0.0)), F.count(F.lit(1)).cast("double"))
     medians = quantile(rows, ["run_id", "decile"], "forward", 0.5).select("run_id", "decile", F.col("quantile").alias("median"))
     curves = rows.groupBy("run_id", "decile").agg(
@@ -92,7 +105,7 @@ def alpha_decay(panel: DataFrame, max_lag: int = 10) -> DataFrame:
     return ladder.join(found, ["run_id", "lag"], "left")
 
 
-def horizon_decay(panel: DataFrame, horizons: list[int]) -> DataFrame:
+def horizon_decay(panel: DataFrame, horizons: list[int], wide: bool | None = None) -> DataFrame:
     """(run_id, horizon, and mean and t-stat of ic, rank_ic and decile_spread) of returns over so many periods; horizons as long as the run or longer have no row."""
     ahead = [h for h in sorted(set(horizons)) if h >= 1]
     kinds = (("ic", "ic"), ("rank_ic", "rank_ic"), ("top_bottom_spread", "decile_spread"))
@@ -102,7 +115,7 @@ def horizon_decay(panel: DataFrame, horizons: list[int]) -> DataFrame:
     each = F.array(*(F.struct(F.lit(h).alias("horizon"), (ratio(F.lead("close", h).over(by_asset()), F.col("close")) - 1).alias("forward")) for h in ahead))
     rows = panel.withColumn("_ahead", each).select("run_id", "t_idx", "asset_idx", "weight", F.explode("_ahead").alias("h")).select("run_id", "t_idx", "asset_idx", "weight", "h.horizon", "h.forward")
     keys = ["run_id", "horizon", "t_idx"]
-    measured = _ranked(active(rows), keys).groupBy(*keys).agg(*_core(keys))
+    measured = _ranked(active(rows), keys, is_wide(panel) if wide is None else wide).groupBy(*keys).agg(*_core(keys))
     found = measured.groupBy("run_id", "horizon").agg(*(f(F.col(a)).alias(f"{b}_{s}") for a, b in kinds for s, f in (("mean", F.avg), ("tstat", t_stat))))
     return ladder.join(found, ["run_id", "horizon"], "left")
 

@@ -16,7 +16,7 @@ from . import oracle
 from .config import FoldConfig, MarketData, SimConfig
 from .functions import zones
 from .functions.stats import by_asset, ratio
-from .operators import curves, metrics, replay, signal, slicing, smoothing
+from .operators import curves, metrics, ranking, replay, signal, slicing, smoothing
 from .plans import folds, grid, results
 from .plans.simulate import simulate
 from .sources import frames, market, synthetic
@@ -248,6 +248,12 @@ def rank_ic_series(spark, sf_dir):
     return signal.cross_sections(panel_of(spark, sf_dir))
 
 
+@query(f"{AT} | ic rank_ic top_bottom_spread", "SELECT * FROM sections")
+def rank_ic_wide(spark, sf_dir):
+    """Cross-sections as a market of many assets has them: each period's assets ranked by ranges."""
+    return signal.cross_sections(panel_of(spark, sf_dir), wide=True)
+
+
 @query(f"{AT} | gross_weight net_weight directionality", "SELECT * FROM sections")
 def gross_net_directionality(spark, sf_dir):
     return signal.cross_sections(panel_of(spark, sf_dir))
@@ -265,7 +271,14 @@ def long_short_hit(spark, sf_dir):
 
 @query("t_idx:int asset_idx:int decile:int | weight forward", "SELECT * FROM ranked")
 def decile_assign(spark, sf_dir):
-    return signal.with_deciles(signal.active(signal.forward_returns(panel_of(spark, sf_dir))), ["run_id", "t_idx"])
+    panel = panel_of(spark, sf_dir)
+    return signal.with_deciles(signal.active(signal.forward_returns(panel)), ["run_id", "t_idx"], ranking.is_wide(panel))
+
+
+@query("t_idx:int asset_idx:int decile:int | weight forward", "SELECT * FROM ranked")
+def decile_assign_wide(spark, sf_dir):
+    """The same as a market of many assets has it: each period's assets ranked by ranges."""
+    return signal.with_deciles(signal.active(signal.forward_returns(panel_of(spark, sf_dir))), ["run_id", "t_idx"], wide=True)
 
 
 @query(f"{AT} | top_bottom_spread", "SELECT * FROM sections")
