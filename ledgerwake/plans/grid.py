@@ -20,6 +20,7 @@ from ..sources.frames import PANEL, long_frame, market_panel
 from ..sources.written import written
 from .results import Delegates, SimulationResult
 from .simulate import Runs, checked
+from .weights import ByAsset
 
 
 class Metrics(str, Enum):
@@ -104,10 +105,11 @@ class GridSearchResults(Delegates):
         grid = self.param_grids[grid_index]
         if grid.is_1d():
             raise ValueError(f"pivot() is for grids of two parameters; grid {grid_index} has one")
-        (down, rows), (_, across) = grid.params
-        wide = self.for_grid(grid_index).groupBy("param1_value").pivot("param2_value", [str(v) for v in across]).agg(F.first("objective_value"))
-        order = F.array_position(F.array(*(F.lit(str(v)) for v in rows)), F.col("param1_value"))
-        return wide.orderBy(order).withColumnRenamed("param1_value", down)
+        (down, _), (_, across) = grid.params
+        own = self.for_grid(grid_index)
+        kind = dict(own.dtypes)["param2_value"]
+        of = lambda v: F.first(F.when(F.col("param2_value") == F.lit(_as(kind, v)), F.col("objective_value")), ignorenulls=True).alias(str(v))
+        return own.groupBy("param1_value").agg(F.min("position").alias("_first"), *map(of, across)).orderBy("_first").drop("_first").withColumnRenamed("param1_value", down)
 
     def top(self, n: int = 10) -> DataFrame:
         """The n highest objectives, whatever the direction of the search."""
@@ -133,13 +135,27 @@ def first_best(table: DataFrame, maximize: bool = True) -> DataFrame:
     return table.filter(F.col("objective_value").isNotNull() & ~F.isnan("objective_value")).orderBy(order, "grid_index", "position").limit(1)
 
 
+def _kind(values: list) -> str:
+    """The type of a column of parameter values: that of numbers where all are, else text."""
+    if all(isinstance(v, bool) for v in values):
+        return "boolean"
+    if any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in values):
+        return "string"
+    return "bigint" if all(isinstance(v, int) for v in values) else "double"
+
+
+def _as(kind: str, value: Any) -> Any:
+    return str(value) if kind == "string" else float(value) if kind == "double" else value
+
+
 def run_table(spark: SparkSession, grids: tuple[Grid, ...]) -> DataFrame:
-    """(run_id, grid_index, grid_name, position, parameters and their values as text); grids of one and of two parameters have columns of their own, null in the others."""
-    parts = []
+    """(run_id, grid_index, grid_name, position, parameters and their values); grids of one and of two parameters have columns of their own, null in the others. A column's values are numbers if they are in all grids, else text."""
+    parts, tried = [], {n: [v for g in grids if len(g.params) == size for v in g.params[k][1]] for n, size, k in (("param", 1, 0), ("param1", 2, 0), ("param2", 2, 1))}
+    kinds = {n: _kind(v) for n, v in tried.items()}
     for g, grid in enumerate(grids):
         names = ("param",) if grid.is_1d() else ("param1", "param2")
-        rows = [(f"{g}-{k}", g, grid.name, k, *(x for (name, _), v in zip(grid.params, values) for x in (name, str(v)))) for k, values in enumerate(product(*(v for _, v in grid.params)))]
-        parts.append(spark.createDataFrame(rows, "run_id string, grid_index int, grid_name string, position int, " + ", ".join(f"{n}_name string, {n}_value string" for n in names)))
+        rows = [(f"{g}-{k}", g, grid.name, k, *(x for n, (name, _), v in zip(names, grid.params, values) for x in (name, _as(kinds[n], v)))) for k, values in enumerate(product(*(v for _, v in grid.params)))]
+        parts.append(spark.createDataFrame(rows, "run_id string, grid_index int, grid_name string, position int, " + ", ".join(f"{n}_name string, {n}_value {kinds[n]}" for n in names)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -152,7 +168,7 @@ def together(frames: list[DataFrame]) -> DataFrame:
 
 
 def grid_search(*, generate_weights: Callable[[Mapping], Any], objective_metric: str | Metrics = Metrics.SHARPE, maximize: bool = True, base_params: Mapping | None = None, param_grids: list, market: MarketData, config: SimConfig | None = None, spark: SparkSession | None = None, progress: bool = False, max_workers: int | None = None, use_multiprocessing: bool = False, executor: Any = None) -> GridSearchResults:
-    """Simulates every combination. generate_weights gives the weights for a mapping of parameters, as a long DataFrame (ts, asset, value) or a wide pandas frame. The last four arguments have no effect: Spark spreads the runs.
+    """Simulates every combination. generate_weights gives the weights for a mapping of parameters, as a long DataFrame (ts, asset, value) or a wide frame, and is called on the driver for each; or it is weights.ByAsset, whose callable runs on the executors. The last four arguments have no effect: Spark spreads the runs.
 
     Diagnostics are off during the search, so that an objective of the signal is null for all; the best run has them again.
     """
@@ -167,9 +183,12 @@ def grid_search(*, generate_weights: Callable[[Mapping], Any], objective_metric:
     if overridden := sorted({name for g in grids for name, _ in g.params} & set(base)):
         warnings.warn(f"grids override base_params: {overridden}", stacklevel=2)
     combos = {f"{g}-{k}": base | dict(zip([n for n, _ in grid.params], values)) for g, grid in enumerate(grids) for k, values in enumerate(product(*(v for _, v in grid.params)))}
-    weights = together([long_frame(spark, generate_weights(params), "weight").select(F.lit(run_id).alias("run_id"), "ts", "asset", "weight") for run_id, params in combos.items()])
     cells = market_panel(spark, market.close_prices, market).drop("run_id", "weight")
-    panel = written(cells.join(weights, ["ts", "asset"]).select(*PANEL), "panel")
+    if isinstance(generate_weights, ByAsset):
+        weights, at = generate_weights.weights(cells, combos), ["t_idx", "asset_idx"]
+    else:
+        weights, at = together([long_frame(spark, generate_weights(params), "weight").select(F.lit(run_id).alias("run_id"), "ts", "asset", "weight") for run_id, params in combos.items()]), ["ts", "asset"]
+    panel = written(cells.join(weights, at).select(*PANEL), "panel")
     counts = panel.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     seen = counts.agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("low"), F.max("n").alias("high")).first()
     if (seen["runs"], seen["low"], seen["high"]) != (len(combos), cells.count(), seen["low"]):

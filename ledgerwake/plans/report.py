@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html import escape
+from itertools import product
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame
@@ -98,8 +99,8 @@ def grid_chart(found, grid_index: int, title: str | None = None) -> str:
         order = sorted(range(len(values)), key=lambda k: values[k]) if all(isinstance(v, (int, float)) for v in values) else range(len(values))
         return lines(title or f"{found.objective_metric} vs {name}", [str(values[k]) for k in order], {found.objective_metric: [rows[k]["objective_value"] for k in order]})
     (a, down), (b, across) = grid.params
-    cells = {(r["param1_value"], r["param2_value"]): r["objective_value"] for r in rows}
-    return heat(title or f"{found.objective_metric}: {a} x {b}", [str(v) for v in down], [str(v) for v in across], cells)
+    names = [str(v) for v in down], [str(v) for v in across]
+    return heat(title or f"{found.objective_metric}: {a} x {b}", *names, dict(zip(product(*names), (r["objective_value"] for r in rows))))
 
 
 def histogram(series: DataFrame, column: str, bins: int = N_BINS) -> DataFrame:

@@ -19,6 +19,7 @@ from .functions.stats import by_asset, ratio
 from .operators import curves, metrics, ranking, replay, signal, slicing, smoothing
 from .plans import folds, grid, results
 from .plans.simulate import simulate
+from .plans.weights import ByAsset
 from .sources import frames, market, synthetic
 from .sources.written import written
 
@@ -380,15 +381,32 @@ def _searched(spark, sf_dir) -> grid.GridSearchResults:
     def weights(p):
         return market.with_momentum(panel, p["lookback"], p.get("power", 1.0)).select("ts", "asset", F.col("weight").alias("value"))
 
-    grids = [{"lookback": [1, 3, 6], "power": [0.5, 1.0]}, {"lookback": [3, 1]}]
-    return grid.grid_search(generate_weights=weights, objective_metric=grid.Metrics.SHARPE, param_grids=grids, market=sides, config=CONFIG, spark=spark)
+    return grid.grid_search(generate_weights=weights, objective_metric=grid.Metrics.SHARPE, param_grids=GRIDS, market=sides, config=CONFIG, spark=spark)
 
 
-@query("grid_index:int grid_name position:int param1_value param2_value param_value | objective_value", oracle.SEARCHED)
+GRIDS = [{"lookback": [1, 3, 6], "power": [0.5, 1.0]}, {"lookback": [3, 1]}]
+SEARCH_COLUMNS = "grid_index:int grid_name position:int param1_value:bigint param2_value:double param_value:bigint | objective_value"
+
+
+@query(SEARCH_COLUMNS, oracle.SEARCHED)
 def grid_searched(spark, sf_dir):
     return _searched(spark, sf_dir).table
 
 
+def _momentum(prices, params):
+    """The signal of market.with_momentum in pandas, for some of the assets."""
+    change = prices / prices.shift(params["lookback"]) - 1
+    return (change > 0).astype(float).where(change > 0, -1.0).where(change != 0, 0.0).where(change.notna()) * change.abs() ** params.get("power", 1.0)
+
+
+@query(SEARCH_COLUMNS, oracle.SEARCHED)
+def grid_searched_on_executors(spark, sf_dir):
+    """The same search with a pandas callable that runs on the executors for some assets and combinations at a time, and a step across assets."""
+    _, _, sides = _inputs(spark, sf_dir)
+    weights = ByAsset(_momentum, lambda found: market.standardized(found.withColumnRenamed("weight", "_m"), "_m").select("run_id", "t_idx", "asset_idx", "weight"), 10, 3)
+    return grid.grid_search(generate_weights=weights, objective_metric=grid.Metrics.SHARPE, param_grids=GRIDS, market=sides, config=CONFIG, spark=spark).table
+
+
 @query("| objective_value", f"SELECT * FROM ({oracle.SEARCHED}) ORDER BY objective_value DESC NULLS LAST, grid_index, position LIMIT 5")
 def grid_top(spark, sf_dir):
     return _searched(spark, sf_dir).top(5)
@@ -420,6 +438,15 @@ def panel_from_frames(spark, sf_dir):
     return frames.market_panel(spark, weights, sides)
 
 
+@query(f"{CELL} | weight close exec funding", "SELECT * FROM panel")
+def panel_from_wide(spark, sf_dir):
+    """The same panel from tables that are wide: a column for each brand."""
+    panel = panel_of(spark, sf_dir)
+    brands = [r["asset"] for r in panel.select("asset").distinct().orderBy("asset").collect()]
+    wide = lambda c: panel.groupBy("ts").pivot("asset", brands).agg(F.first(c))
+    return frames.market_panel(spark, wide("weight"), MarketData(wide("close"), wide("exec"), wide("funding")))
+
+
 @query("ordinal:int category metric | value_double", oracle.tall([(k, m[0], m[1], m[2]) for k, m in enumerate(metrics.METRICS) if m[0] not in ("Meta",)]))
 def simulated_metrics(spark, sf_dir):
     """simulate()'s own table of metrics."""

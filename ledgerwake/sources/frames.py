@@ -21,7 +21,9 @@ PANEL = ["run_id", "t_idx", "ts", "asset", "asset_idx", "weight", "close", "exec
 
 
 def long_frame(spark: SparkSession, x: Any, name: str) -> DataFrame:
-    """(ts, asset, <name>, and asset_order where x is a pandas frame) of a long DataFrame (ts, asset, value) or of a wide pandas frame; a series is one asset, named by itself or else by name."""
+    """(ts, asset, <name>, and asset_order where x is wide) of a long DataFrame (ts, asset, value), or of a wide one or a wide pandas frame: ts, or the index, and a column for each asset. A series is one asset, named by itself or else by name."""
+    if isinstance(x, DataFrame) and not {"asset", "value"} <= set(x.columns):
+        return _unpivoted(x, name)
     if isinstance(x, DataFrame):
         extra = ["asset_order"] if "asset_order" in x.columns else []
         return x.select("ts", "asset", F.col("value").alias(name), *extra)
@@ -39,6 +41,15 @@ def long_frame(spark: SparkSession, x: Any, name: str) -> DataFrame:
     return spark.createDataFrame(tall[["ts", "asset", name, "asset_order"]], f"ts {kind}, asset string, {name} double, asset_order int")
 
 
+def _unpivoted(x: DataFrame, name: str) -> DataFrame:
+    """A wide DataFrame as a long one; columns keep their order. Rows are not shuffled."""
+    assets = [c for c in x.columns if c != "ts"]
+    if not assets or "ts" not in x.columns:
+        raise ValueError(f"{name} must have a column ts and at least one asset")
+    cells = x.select("ts", F.posexplode(F.array(*(F.col(f"`{c}`") for c in assets))).alias("asset_order", name))
+    return cells.select("ts", F.element_at(F.array(*map(F.lit, assets)), F.col("asset_order") + 1).alias("asset"), name, "asset_order")
+
+
 def market_panel(spark: SparkSession, weights: Any, market: MarketData) -> DataFrame:
     """The panel of one run, "run". All tables must hold the same periods and assets, each pair once: else a ValueError. Assets are ordered as the columns of close_prices, or by name."""
     close = long_frame(spark, market.close_prices, "close")

@@ -24,13 +24,18 @@ def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_momentum(panel: DataFrame, lookback: int = 3, power: float = 1.0) -> DataFrame:
     """Weights: the momentum over lookback periods to a power, as a z-score over the assets, clipped to 3, scaled to a gross of 1, and used one period later."""
-    own, across = Window.partitionBy("run_id", "asset_idx").orderBy("t_idx"), Window.partitionBy("run_id", "t_idx")
+    own = Window.partitionBy("run_id", "asset_idx").orderBy("t_idx")
     change = ratio(F.col("close"), F.lag("close", lookback).over(own)) - 1
-    signal = panel.withColumn("_m", F.signum(change) * F.pow(F.abs(change), F.lit(power)))
-    z = signal.withColumn("_z", ratio(F.col("_m") - F.avg("_m").over(across), F.stddev_samp("_m").over(across)))
+    return standardized(panel.withColumn("_m", F.signum(change) * F.pow(F.abs(change), F.lit(power))), "_m").select(*panel.columns)
+
+
+def standardized(rows: DataFrame, signal: str) -> DataFrame:
+    """Rows with the weight that follows from a signal: its z-score over the period's assets, clipped to 3, scaled to a gross of 1, one period later."""
+    own, across = Window.partitionBy("run_id", "asset_idx").orderBy("t_idx"), Window.partitionBy("run_id", "t_idx")
+    z = rows.withColumn("_z", ratio(F.col(signal) - F.avg(signal).over(across), F.stddev_samp(signal).over(across)))
     clipped = z.withColumn("_z", F.when(F.col("_z").isNotNull(), F.greatest(F.least("_z", F.lit(3.0)), F.lit(-3.0))))
     scaled = clipped.withColumn("_w", ratio(F.col("_z"), F.sum(F.abs("_z")).over(across)))
-    return scaled.withColumn("weight", F.lag("_w").over(own)).select(*panel.columns)
+    return scaled.withColumn("weight", F.lag("_w").over(own))
 
 
 def market(spark: SparkSession, sf_dir: str, lookback: int = 3, power: float = 1.0) -> DataFrame:

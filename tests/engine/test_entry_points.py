@@ -44,7 +44,7 @@ def test_simulate_and_report(spark, market, weights, tmp_path):
 def test_grid(spark, market, weights):
     found = lw.grid_search(generate_weights=lambda p: weights * p["scale"], param_grids=[{"scale": [0.5, 1.0]}], market=market, spark=spark, objective_metric=lw.MetricKey.TOTAL_RETURN_PCT)
     table = found.table.collect()
-    assert [r.param_value for r in table] == ["0.5", "1.0"]
+    assert [r.param_value for r in table] == [0.5, 1.0]
     assert found.best.objective_value == max(r.objective_value for r in table)
     with pytest.raises(ValueError):
         found.pivot()
