@@ -110,4 +110,4 @@ def test_synthetic_market(spark):
     assert close.shape == (60, 12) and abs(change.std() - 0.02) < 0.002 and abs(change.mean()) < 0.003
     found = lw.grid_search(generate_weights=lambda p: momentum_weights(own.close_prices, p["lookback"], p["power"]), param_grids=[{"lookback": [5, 2], "power": [1.0, 0.5]}], market=own, spark=spark)
     wide = found.pivot().collect()
-    assert [r.lookback for r in wide] == ["5", "2"] and found.pivot().columns == ["lookback", "1.0", "0.5"] and found.top(1).first().objective_value == found.best.objective_value
+    assert [r.lookback for r in wide] == [5, 2] and found.pivot().columns == ["lookback", "1.0", "0.5"] and found.top(1).first().objective_value == found.best.objective_value
