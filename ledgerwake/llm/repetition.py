@@ -141,7 +141,7 @@ def _dup_lines(text: str) -> int:
 
 
 def measure(texts: list[str | None], shortest: int = SHORTEST) -> list[dict]:
-    """The counts of FIELDS for each text. spans: the union of all occurrences of its maximal repeats, in code points, adjoining ones joined."""
+    """The counts of FIELDS for each text. spans: the union of all occurrences of its maximal repeats, in code points, adjoining ones joined. covered_chars: the code points of the words in them, so that blanks count on neither side of a fraction of word_chars."""
     words = [WORD.findall(x or "") for x in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     total = int(sizes.sum())
@@ -166,7 +166,7 @@ def measure(texts: list[str | None], shortest: int = SHORTEST) -> list[dict]:
         out.append({
             "n_words": len(own_words), "word_chars": sum(map(len, own_words)), "n_symbols": len(_SYMBOL.findall(x or "")), "n_dup_lines": _dup_lines(x or ""),
             "n_repeat_words": int(own.sum()), "n_repeats": int(repeats[k]), "longest_repeat": int(longest[k]),
-            "covered_chars": sum(s["end"] - s["start"] for s in spans), "spans": spans,
+            "covered_chars": sum(len(w) for w, inside in zip(own_words, own.tolist()) if inside) if spans else 0, "spans": spans,
         })
     return out
 

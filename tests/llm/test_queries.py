@@ -46,8 +46,7 @@ def test_op1(rows_of, texts):
 
 
 def repeats(text):
-    """n_repeat_words, covered characters and the length of the longest repeat, by sets of windows."""
-    at = [m.span() for m in WORD.finditer(text)]
+    """n_repeat_words, covered characters of words and the length of the longest repeat, by sets of windows."""
     words = WORD.findall(text)
 
     def windows(n):
@@ -57,11 +56,7 @@ def repeats(text):
     for i in range(len(words) - 4):
         if seen[tuple(words[i : i + 5])] > 1:
             inside[i : i + 5] = [True] * 5
-    covered = 0
-    for i, x in enumerate(inside):
-        if x and (not i or not inside[i - 1]):
-            end = next((j for j in range(i, len(words)) if not inside[j]), len(words))
-            covered += at[end - 1][1] - at[i][0]
+    covered = sum(len(w) for w, x in zip(words, inside) if x)
     low, high = 4, len(words)
     while low < high:
         n = (low + high + 1) // 2

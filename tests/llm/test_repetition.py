@@ -49,3 +49,16 @@ def test_time_is_linear_in_one_repeated_word():
     start = time.time()
     got = repetition.measure(["word " * 300_000])[0]
     assert got["longest_repeat"] == 299_999 and got["n_repeat_words"] == 300_000 and time.time() - start < 20
+
+
+def test_blanks_do_not_count(docs_of):
+    """A text with long blanks is judged like the same text with single ones."""
+    passage = [f"p{k}" for k in range(5)]
+    words = [f"w{k}" for k in range(150)] + passage + [f"x{k}" for k in range(151)] + passage
+    texts = [" ".join(words), (" " * 200).join(words), "\n\t".join(words), " ".join(passage * 2 + ["end"])]
+    plain, *spread, short = repetition.measure(texts)
+    for own in spread:
+        assert {k: own[k] for k in own if k not in ("spans", "n_dup_lines")} == {k: plain[k] for k in plain if k not in ("spans", "n_dup_lines")}
+    assert plain["covered_chars"] == 20 and short["covered_chars"] == 20 <= short["word_chars"]
+    rows = docs_of(texts).select("doc_id", repetition.repetition_column(F.col("text")).alias("m")).select("doc_id", repetition.repeats_within(F.col("m")).alias("kept")).orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == [True, True, True, False]
