@@ -164,11 +164,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for at in range(0, len(rows), ROWS):
-                own = rows.iloc[at : at + ROWS]
-                counts = ngram_counts(own["text"].tolist())
+            at = 0
+            for texts in in_slices(rows["text"].tolist(), SLICE, ROWS):
+                langs = rows["lang"].to_numpy()[at : at + len(texts)]
+                at += len(texts)
+                counts = ngram_counts(texts)
                 filled = [np.flatnonzero(c) for c in counts]
-                yield pd.DataFrame({"lang": own["lang"].to_numpy(), "bucket": [f.astype(np.int32) for f in filled], "n": [c[f].astype(np.float32) for c, f in zip(counts, filled)]})
+                yield pd.DataFrame({"lang": langs, "bucket": [f.astype(np.int32) for f in filled], "n": [c[f].astype(np.float32) for c, f in zip(counts, filled)]})
 
     drawn = hashed.join(bounds, "lang").filter("h <= bound").select("lang", "text")
     sample = drawn.mapInPandas(features, SAMPLE).toArrow()
