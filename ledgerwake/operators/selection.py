@@ -16,9 +16,13 @@ from ..sources.written import written
 BINS, FEW, MOST_BROADCAST = 4096, 10_000, 100_000
 
 
+_STATE = ["_w", "_frac", "_rank", "_lo", "_hi", "_n", "_below", "_below_sum"]
+
+
 def _within(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with the ranges of its group that it lies in."""
-    side = F.broadcast(ranges) if ranges.count() <= MOST_BROADCAST else ranges
+    """Each row with the range of its group that it lies in. Ranges of a group are equal or lie apart."""
+    spans = ranges.select(*keys, "_lo", "_hi").distinct()
+    side = F.broadcast(spans) if spans.count() <= MOST_BROADCAST else spans
     return rows.join(side, keys).filter("_x >= _lo and _x <= _hi")
 
 
@@ -26,21 +30,23 @@ def _narrowed(rows: DataFrame, ranges: DataFrame, keys: list[str], bins: int) ->
     """Each range as the part of it, one bin, that holds its rank."""
     # halves, so that the width of no range is infinite; the bin never falls as the value rises
     share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    binned = _within(rows, ranges.select(*keys, "_side", "_lo", "_hi"), keys).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
-    counted = binned.groupBy(*keys, "_side", "_bin").agg(F.count(F.lit(1)).alias("_in"), F.sum("_x").alias("_in_sum"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
-    before = Window.partitionBy(*keys, "_side").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    span = [*keys, "_lo", "_hi"]
+    binned = _within(rows, ranges, keys).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+    counted = binned.groupBy(*span, "_bin").agg(F.count(F.lit(1)).alias("_in"), F.sum("_x").alias("_in_sum"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    before = Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumns({"_under": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_under_sum": F.coalesce(F.sum("_in_sum").over(before), F.lit(0.0))})
-    held = ranges.join(counted, [*keys, "_side"]).filter("_rank >= _under and _rank < _under + _in")
-    return held.select(*keys, "_side", "_frac", (F.col("_rank") - F.col("_under")).alias("_rank"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.col("_in").alias("_n"), (F.col("_below") + F.col("_under")).alias("_below"), (F.col("_below_sum") + F.col("_under_sum")).alias("_below_sum"))
+    held = ranges.join(counted, span).filter("_rank >= _under and _rank < _under + _in")
+    return held.select(*keys, "_w", "_frac", (F.col("_rank") - F.col("_under")).alias("_rank"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.col("_in").alias("_n"), (F.col("_below") + F.col("_under")).alias("_below"), (F.col("_below_sum") + F.col("_under_sum")).alias("_below_sum"))
 
 
-def quantile(rows: DataFrame, keys: list[str], value: str, at: float, bins: int = BINS, few: int = FEW) -> DataFrame:
-    """(keys, quantile, tail_count, tail_sum) for each group of rows, a written table: the quantile, interpolated between the two ranks next to it, and the number and sum of values up to it. Missing values don't count; a group without any other has no row."""
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float], bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(keys, at, quantile, tail_count, tail_sum) for each group of rows, a written table, and each of at, numbered from 0: the quantile, interpolated between the two ranks next to it, and the number and sum of values up to it. Missing values don't count; a group without any other has no row."""
     own = rows.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
-    place = (F.col("_n") - 1) * F.lit(float(at))
-    sides = F.array(F.struct(F.lit(0).alias("_side"), F.floor(place).alias("_rank")), F.struct(F.lit(1).alias("_side"), F.ceil(place).alias("_rank")))
+    place = (F.col("_n") - 1) * F.col("_p")
     whole = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    ranges = whole.select(*keys, (place - F.floor(place)).alias("_frac"), "_n", "_lo", "_hi", F.explode(sides).alias("_s")).select(*keys, "_s._side", "_frac", "_s._rank", "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_below"), F.lit(0.0).alias("_below_sum"))
+    asked = whole.select("*", F.posexplode(F.array(*(F.lit(float(p)) for p in at))).alias("_k", "_p"))
+    sides = F.array(F.struct((2 * F.col("_k")).alias("_w"), F.floor(place).alias("_rank")), F.struct((2 * F.col("_k") + 1).alias("_w"), F.ceil(place).alias("_rank")))
+    ranges = asked.select("*", (place - F.floor(place)).alias("_frac"), F.explode(sides).alias("_s"), F.lit(0).cast("long").alias("_below"), F.lit(0.0).alias("_below_sum")).select("*", "_s._w", "_s._rank").select(*keys, *_STATE)
     wide = (F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))
     while True:
         ranges = written(ranges, "ranges")
@@ -48,13 +54,18 @@ def quantile(rows: DataFrame, keys: list[str], value: str, at: float, bins: int
             break
         ranges = _narrowed(own, ranges.filter(wide), keys, bins).unionByName(ranges.filter(~wide))
     # a range of one value is told by its bounds; of the others, each of few rows, the row of the rank is looked up
-    told = ranges.filter("_lo = _hi").select(*keys, "_side", "_frac", F.col("_lo").alias("_v"), (F.col("_below") + F.col("_n")).alias("_count"), (F.col("_below_sum") + F.col("_n") * F.col("_lo")).alias("_sum"))
-    w = Window.partitionBy(*keys, "_side").orderBy("_x")
+    told = ranges.filter("_lo = _hi").select(*keys, "_w", "_frac", F.col("_lo").alias("_v"), (F.col("_below") + F.col("_n")).alias("_count"), (F.col("_below_sum") + F.col("_n") * F.col("_lo")).alias("_sum"))
+    w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_x")
     upto = w.rangeBetween(Window.unboundedPreceding, 0)
-    ordered = _within(own, ranges.filter("_lo < _hi"), keys).withColumns({"_at": F.row_number().over(w) - 1, "_count": F.count(F.lit(1)).over(upto), "_sum": F.sum("_x").over(upto)})
-    looked = ordered.filter("_at = _rank").select(*keys, "_side", "_frac", F.col("_x").alias("_v"), (F.col("_below") + F.col("_count")).alias("_count"), (F.col("_below_sum") + F.col("_sum")).alias("_sum"))
-    of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c))).alias(f"{c}{side}")
-    both = told.unionByName(looked).groupBy(*keys).agg(F.max("_frac").alias("_frac"), *(of(side, c) for side in (0, 1) for c in ("_v", "_count", "_sum")))
+    ordered = _within(own, ranges.filter("_lo < _hi"), keys).withColumns({"_rank": (F.row_number().over(w) - 1).cast("long"), "_in": F.count(F.lit(1)).over(upto), "_in_sum": F.sum("_x").over(upto)})
+    looked = ranges.join(ordered, [*keys, "_lo", "_hi", "_rank"]).select(*keys, "_w", "_frac", F.col("_x").alias("_v"), (F.col("_below") + F.col("_in")).alias("_count"), (F.col("_below_sum") + F.col("_in_sum")).alias("_sum"))
+    of = lambda side, c: F.max(F.when(F.col("_w") % 2 == side, F.col(c))).alias(f"{c}{side}")
+    both = told.unionByName(looked).groupBy(*keys, F.floor(F.col("_w") / 2).cast("int").alias("at")).agg(F.max("_frac").alias("_frac"), *(of(side, c) for side in (0, 1) for c in ("_v", "_count", "_sum")))
     between = F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise((1 - F.col("_frac")) * F.col("_v0") + F.col("_frac") * F.col("_v1"))
     tail = lambda c: F.when(F.col("quantile") >= F.col("_v1"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    return both.withColumn("quantile", between).select(*keys, "quantile", tail("_count").alias("tail_count"), tail("_sum").alias("tail_sum"))
+    return both.withColumn("quantile", between).select(*keys, "at", "quantile", tail("_count").alias("tail_count"), tail("_sum").alias("tail_sum"))
+
+
+def quantile(rows: DataFrame, keys: list[str], value: str, at: float, bins: int = BINS, few: int = FEW) -> DataFrame:
+    """quantiles() for one."""
+    return quantiles(rows, keys, value, [at], bins, few).drop("at")

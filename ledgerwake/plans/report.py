@@ -1,4 +1,4 @@
-"""tearsheet(): one HTML page with inline SVG charts, no scripts. Only one run's series, binned or one number a period, reach the driver."""
+"""tearsheet(): one HTML page with inline SVG charts, no scripts. What reaches the driver has a bound for each chart: rows that its pixels show, bins, or quantiles at fixed ranks."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.zones import wall_time, zone_of
 from ..operators import curves
+from ..operators.selection import quantiles
+from ..sources.written import written
 from .results import SimulationResult
 
 _COLOURS = ("#2a6f97", "#c1666b", "#4f772d", "#8d6a9f")
@@ -34,16 +37,17 @@ def _frame(title: str, body: str, ys: list[float], left: str = "", right: str =
     return f"<section><h3>{escape(title)}</h3>{head}{axis}{body}{labels}{ends}</svg></section>"
 
 
-def lines(title: str, xs: list, series: dict[str, list[float | None]]) -> str:
-    """A line for each series; a gap where a value is missing."""
+def lines(title: str, xs: list, series: dict[str, list[float | None]], at: list[int] | None = None) -> str:
+    """A line for each series; a gap where a value is missing. at: where the values stand, by default side by side."""
+    at = list(range(len(xs))) if at is None else at
     known = [v for s in series.values() for v in s if v is not None]
     if not known:
         return _frame(title, "<text x='380' y='110'>No data</text>", [])
-    x, y = _scale([], _PAD, _W - 8, (0, max(1, len(xs) - 1))), _scale(known, _H - _PAD / 2, 8)
+    x, y = _scale([], _PAD, _W - 8, (0, max([1, *at[-1:]]))), _scale(known, _H - _PAD / 2, 8)
     body = ""
     for (name, values), colour in zip(series.items(), _COLOURS):
         path, pen = "", "M"
-        for k, v in enumerate(values):
+        for k, v in zip(at, values):
             path, pen = (path, "M") if v is None else (f"{path}{pen}{x(k):.1f} {y(v):.1f}", "L")
         body += f'<path d="{path}" fill="none" stroke="{colour}" stroke-width="1.5"><title>{escape(name)}</title></path>'
     legend = "".join(f'<text x="{_PAD + 10 + 130 * k}" y="20" fill="{c}">{escape(n)}</text>' for k, (n, c) in enumerate(zip(series, _COLOURS))) if len(series) > 1 else ""
@@ -112,6 +116,35 @@ def histogram(series: DataFrame, column: str, bins: int = N_BINS) -> DataFrame:
     return counted.select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), "count").orderBy("bin")
 
 
+def reduced(series: DataFrame, names: list[str], pixels: int = _W) -> DataFrame:
+    """The rows of which a chart so many pixels wide is drawn: for each column of pixels the first and the last one, and those of the least and the greatest value of each series. The line is the same, and what leaves Spark has a bound; all rows where there are no more than that."""
+    last = series.agg(F.max("t_idx")).first()[0] or 0
+    if last < 4 * pixels:
+        return series
+    own = [F.min("t_idx"), F.max("t_idx"), *(f("t_idx", n) for n in names for f in (F.min_by, F.max_by))]
+    kept = series.groupBy(F.floor(F.col("t_idx") * pixels / (last + 1))).agg(F.array_distinct(F.array(*own)).alias("_t"))
+    return series.join(F.broadcast(kept.select(F.explode("_t").alias("t_idx")).filter("t_idx is not null")), "t_idx")
+
+
+def reduced_points(rows: DataFrame, x: str, y: str, pixels: int = _W) -> DataFrame:
+    """(x, y) of one row for each pixel of a chart that has any, if there are more rows than pixels in its width."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{f.__name__}") for c in {x, y} for f in (F.min, F.max))).first()
+    own = rows.select(x, y)
+    if size["n"] <= 4 * pixels:
+        return own
+    cell = lambda c, n: F.floor(F.try_divide(F.col(c) - size[f"{c}_min"], F.lit(float(size[f"{c}_max"] - size[f"{c}_min"]))) * n)
+    return own.groupBy(cell(x, pixels), cell(y, _H)).agg(F.min(F.struct(x, y)).alias("p")).select("p.*")
+
+
+def quantile_pairs(series: DataFrame, column: str, most: int = 200) -> list[tuple[float, float]]:
+    """A normal distribution's quantiles and those of the column: of every value, or of so many ranks that lie evenly apart."""
+    values = written(series.select("run_id", F.col(column)).filter(F.col(column).isNotNull()), "returns")
+    n = values.count()
+    ranks = sorted({round(k * (n - 1) / max(1, min(n, most) - 1)) for k in range(min(n, most))})
+    found = {r["at"]: r["quantile"] for r in quantiles(values, ["run_id"], column, [k / max(1, n - 1) for k in ranks]).collect()} if n else {}
+    return [(NormalDist().inv_cdf((rank + 0.5) / n), found[k]) for k, rank in enumerate(ranks)]
+
+
 def _columns(df: DataFrame, *names: str, by: str = "t_idx") -> list[list]:
     rows = df.select(by, *names).orderBy(by).collect()
     return [[r[n] for r in rows] for n in names]
@@ -131,26 +164,30 @@ def _shown(r) -> str:
 
 
 def _series_charts(result: SimulationResult, smooth: int) -> list[str]:
-    art = result.artifacts
-    ts, equity, drawdown, returns = _columns(art.table, "ts", "equity_pct", "drawdown_pct", "returns_pct")
-    own = {"Portfolio": equity}
+    art, zone = result.artifacts, zone_of(result.panel)
+
+    def chart(title: str, table: DataFrame, names: dict[str, str], factor: float = 1.0) -> str:
+        rows = reduced(table, list(names.values())).withColumn("_shown", wall_time(F.col("ts"), zone))
+        at, ts, *found = _columns(rows, "t_idx", "_shown", *names.values())
+        return lines(title, ts, {n: [None if v is None else v * factor for v in column] for n, column in zip(names, found)}, at)
+
+    table, own = art.table, {"Portfolio": "equity_pct"}
     if result.benchmark_equity is not None:
-        own["Benchmark"] = _columns(art.benchmark_equity_pct, "benchmark_equity_pct")[0]
+        table, own = table.join(art.benchmark_equity_pct.select("t_idx", "benchmark_equity_pct"), "t_idx", "left"), own | {"Benchmark": "benchmark_equity_pct"}
     window = max(2, smooth) if smooth > 0 else 30
-    (sharpe,) = _columns(art.rolling_sharpe(window, 6 if not smooth else min(max(2, window // 5), window)), "rolling_sharpe")
-    out = [lines("Equity Curve (Cumulative Return %)", ts, own), lines("Drawdown (%)", ts, {"Drawdown": drawdown}), lines(f"Rolling Sharpe ({window} periods, annualized)", ts, {"Sharpe": sharpe})]
+    sharpe = art.rolling_sharpe(window, 6 if not smooth else min(max(2, window // 5), window))
+    out = [chart("Equity Curve (Cumulative Return %)", table, own), chart("Drawdown (%)", art.table, {"Drawdown": "drawdown_pct"}), chart(f"Rolling Sharpe ({window} periods, annualized)", sharpe, {"Sharpe": "rolling_sharpe"})]
     bins = histogram(art.table, "returns_pct").collect()
     shape = art.table.agg(F.skewness("returns_pct").alias("s"), F.kurtosis("returns_pct").alias("k")).first()
     by_bin = {r["bin"]: r["count"] for r in bins}
     out.append(bars("Returns Distribution (Per-Period, %)", [_number(b["low"]) for b in bins], {f"count; skew {shape['s'] or 0:.2f}, kurtosis {shape['k'] or 0:.2f}": [by_bin[b["bin"]] for b in bins]}))
-    ordered = sorted(returns)
-    out.append(points("Returns Q-Q Plot", [(NormalDist().inv_cdf((k + 0.5) / len(ordered)), v) for k, v in enumerate(ordered)]))
+    out.append(points("Returns Q-Q Plot", quantile_pairs(art.table, "returns_pct")))
 
     def smoothed(title: str, *names: str, factor: float = 1.0) -> str:
         table = art.table
         for n in names:
             table = curves.smoothed(table, n, smooth)
-        return lines(title, ts, {n: [None if v is None else v * factor for v in column] for n, column in zip(names, _columns(table, *names))})
+        return chart(title, table, {n: n for n in names}, factor)
 
     return [
         *out, smoothed("Transaction Costs (% of Portfolio)", "transaction_costs", factor=100.0), smoothed("Active Positions (Count)", "n_positions"),
@@ -164,8 +201,8 @@ def _signal_charts(result: SimulationResult) -> list[str]:
     for title, x in (("Signal Directionality vs Next-Period Return", "directionality"), ("Signal IC vs Next-Period Return", "ic")):
         known = table.filter(F.col(x).isNotNull() & F.col("forward_return_per_gross").isNotNull())
         fit = known.agg(F.regr_slope("forward_return_per_gross", x), F.regr_intercept("forward_return_per_gross", x)).first()
-        a, b = _columns(known, x, "forward_return_per_gross")
-        out.append(points(title, list(zip(a, b)), tuple(fit)))
+        pairs = reduced_points(known, x, "forward_return_per_gross").collect()
+        out.append(points(title, [tuple(p) for p in pairs], tuple(fit)))
     lag, *means = _columns(sections.alpha_decay_next_return_by_type, "lag", "total_mean", "selection_mean", "directional_mean", by="lag")
     out.append(lines("Signal: Alpha Decay by Lag (Next-Period Return per Gross)", lag, dict(zip(("total", "selection", "directional"), means))))
     horizon, *means = _columns(sections.decay_horizons, "horizon", "ic_mean", "rank_ic_mean", "decile_spread_mean", by="horizon")

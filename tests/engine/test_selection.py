@@ -32,5 +32,14 @@ def test_one_large_group_is_counted_and_not_gathered(spark):
     got = selection.quantile(rows, ["g"], "v", 0.5, bins=512, few=100).first()
     values = np.sort(np.array(rows.select("v").toPandas()["v"]))
     assert got.quantile == np.percentile(values, 50)
-    plan = selection._narrowed(rows.select("g", F.col("v").alias("_x")), spark.createDataFrame([("all", 0, 0.5, 7, -1.0, 1.0, 10, 0, 0.0)], "g string, _side int, _frac double, _rank long, _lo double, _hi double, _n long, _below long, _below_sum double"), ["g"], 512)._jdf.queryExecution().optimizedPlan().toString()
+    plan = selection._narrowed(rows.select("g", F.col("v").alias("_x")), spark.createDataFrame([("all", 0, 0.5, 7, -1.0, 1.0, 10, 0, 0.0)], "g string, _w int, _frac double, _rank long, _lo double, _hi double, _n long, _below long, _below_sum double"), ["g"], 512)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect" not in plan and "percentile" not in plan
+
+
+def test_many_at_once(spark):
+    values = np.random.default_rng(1).normal(size=3000)
+    rows = spark.createDataFrame([("a", float(x)) for x in values] + [("b", float(k)) for k in range(11)], "g string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for few in (20, 10_000):
+        got = {(r.g, r.at): r.quantile for r in selection.quantiles(rows, ["g"], "v", at, 64, few).collect()}
+        assert got == {**{("a", k): pytest.approx(np.percentile(values, 100 * p), abs=1e-15) for k, p in enumerate(at)}, **{("b", k): pytest.approx(10 * p) for k, p in enumerate(at)}}
