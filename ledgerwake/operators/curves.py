@@ -26,6 +26,15 @@ def with_drawdown(periods: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return out.withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1).select(*periods.columns, "peak", "drawdown")
 
 
+def compounded(periods: DataFrame, init_cash: float, chunk: int = CHUNK) -> DataFrame:
+    """Adds equity as the running product of 1 and each return, from init_cash on; a missing return changes nothing. A product over each chunk, and one over the chunks before it: returns of -1 and below are factors like any others."""
+    rows = _chunked(periods, chunk).withColumn("_grown", 1 + F.coalesce("ret", F.lit(0.0)))
+    along = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    grown = rows.groupBy("run_id", "_chunk").agg(F.product("_grown").alias("_all")).select("run_id", "_chunk", F.coalesce(F.product("_all").over(along), F.lit(1.0)).alias("_before"))
+    own = F.product("_grown").over(so_far(Window.partitionBy("run_id", "_chunk").orderBy("t_idx")))
+    return rows.join(grown, ["run_id", "_chunk"]).withColumn("equity", init_cash * F.col("_before") * own).select(*periods.columns, "equity")
+
+
 def rolling_sharpe(periods: DataFrame, config: SimConfig, window: int = 30, least: int = 6) -> DataFrame:
     """(run_id, t_idx, ts, rolling_sharpe): mean over deviation of the excess returns in the window, annualised; null for fewer than least periods and without deviation."""
     excess = F.col("ret") - config.period_risk_free

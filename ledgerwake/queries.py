@@ -20,7 +20,7 @@ from .operators import curves, metrics, ranking, replay, signal, slicing, smooth
 from .plans import folds, grid, results
 from .plans.simulate import simulate
 from .plans.weights import ByAsset
-from .sources import frames, market, synthetic
+from .sources import feather, frames, market, synthetic
 from .sources.written import written
 
 CONFIG = SimConfig(
@@ -438,6 +438,19 @@ def panel_from_frames(spark, sf_dir):
     return frames.market_panel(spark, weights, sides)
 
 
+@query(f"{CELL} | close exec funding", "SELECT * FROM panel")
+def panel_from_feather(spark, sf_dir):
+    """The panel written as Feather files and read back, the columns that are asked for alone."""
+    path = feather.write_feather(panel_of(spark, sf_dir))
+    return feather.read_feather(spark, path, ["t_idx", "ts", "asset", "asset_idx", "close", "exec", "funding"])
+
+
+@query(f"{AT} | equity", f"SELECT *, {oracle.INIT} * product(1 + ret) OVER (ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS equity FROM (SELECT * EXCLUDE (equity) FROM periods)")
+def compounded_equity(spark, sf_dir):
+    """Equity from returns alone, as a report shows it where a result has no equity."""
+    return curves.compounded(periods_of(spark, sf_dir).drop("equity"), oracle.INIT)
+
+
 @query(f"{CELL} | weight close exec funding", "SELECT * FROM panel")
 def panel_from_wide(spark, sf_dir):
     """The same panel from tables that are wide: a column for each brand."""

@@ -61,6 +61,19 @@ def test_islands(spark, chunk):
     assert {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()} == {k: islands(v) for k, v in own.items()}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100_000])
+def test_compounded_returns(spark, chunk):
+    """Total losses, and worse, among the returns."""
+    own = {"plain": [0.0, 0.1, -0.2, None, 0.05] * 8, "lost": [0.1] * 9 + [-1.0] + [0.1] * 9, "worse": [0.1] * 9 + [-1.5] + [0.2] * 9 + [-2.0, 0.1]}
+    periods = spark.createDataFrame([(k, t, x) for k, r in own.items() for t, x in enumerate(r)], "run_id string, t_idx int, ret double")
+    got = {(r.run_id, r.t_idx): r.equity for r in curves.compounded(periods, 50.0, chunk).collect()}
+    for k, returns in own.items():
+        equity = 50.0
+        for t, x in enumerate(returns):
+            equity *= 1 + (x or 0.0)
+            assert got[k, t] == pytest.approx(equity, rel=1e-12)
+
+
 def test_positions_that_start_late(spark):
     """Chunks of an asset that is there in some periods only."""
     rows = spark.createDataFrame([("r", 5 + t, 0, 1.0) for t in range(20)] + [("r", t, 1, float(t // 4 % 2)) for t in range(30)], "run_id string, t_idx int, asset_idx int, units double")
