@@ -19,19 +19,19 @@ BINS, FEW, MOST_BROADCAST = 4096, 10_000, 100_000
 _STATE = ["_w", "_frac", "_rank", "_lo", "_hi", "_n", "_below", "_below_sum"]
 
 
-def _within(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with the range of its group that it lies in. Ranges of a group are equal or lie apart."""
+def _within(rows: DataFrame, ranges: DataFrame, keys: list[str], n_ranges: int) -> DataFrame:
+    """Each row with the range of its group that it lies in. Ranges of a group are equal or lie apart; there are n_ranges at most."""
     spans = ranges.select(*keys, "_lo", "_hi").distinct()
-    side = F.broadcast(spans) if spans.count() <= MOST_BROADCAST else spans
+    side = F.broadcast(spans) if n_ranges <= MOST_BROADCAST else spans
     return rows.join(side, keys).filter("_x >= _lo and _x <= _hi")
 
 
-def _narrowed(rows: DataFrame, ranges: DataFrame, keys: list[str], bins: int) -> DataFrame:
+def _narrowed(rows: DataFrame, ranges: DataFrame, keys: list[str], bins: int, n_ranges: int = 0) -> DataFrame:
     """Each range as the part of it, one bin, that holds its rank."""
     # halves, so that the width of no range is infinite; the bin never falls as the value rises
     share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     span = [*keys, "_lo", "_hi"]
-    binned = _within(rows, ranges, keys).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
+    binned = _within(rows, ranges, keys, n_ranges).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
     counted = binned.groupBy(*span, "_bin").agg(F.count(F.lit(1)).alias("_in"), F.sum("_x").alias("_in_sum"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     before = Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumns({"_under": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_under_sum": F.coalesce(F.sum("_in_sum").over(before), F.lit(0.0))})
@@ -50,14 +50,15 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float], bin
     wide = (F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))
     while True:
         ranges = written(ranges, "ranges")
-        if not ranges.filter(wide).take(1):
+        n_ranges, open_ = ranges.agg(F.count(F.lit(1)), F.count_if(wide)).first()
+        if not open_:
             break
-        ranges = _narrowed(own, ranges.filter(wide), keys, bins).unionByName(ranges.filter(~wide))
+        ranges = _narrowed(own, ranges.filter(wide), keys, bins, n_ranges).unionByName(ranges.filter(~wide))
     # a range of one value is told by its bounds; of the others, each of few rows, the row of the rank is looked up
     told = ranges.filter("_lo = _hi").select(*keys, "_w", "_frac", F.col("_lo").alias("_v"), (F.col("_below") + F.col("_n")).alias("_count"), (F.col("_below_sum") + F.col("_n") * F.col("_lo")).alias("_sum"))
     w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_x")
     upto = w.rangeBetween(Window.unboundedPreceding, 0)
-    ordered = _within(own, ranges.filter("_lo < _hi"), keys).withColumns({"_rank": (F.row_number().over(w) - 1).cast("long"), "_in": F.count(F.lit(1)).over(upto), "_in_sum": F.sum("_x").over(upto)})
+    ordered = _within(own, ranges.filter("_lo < _hi"), keys, n_ranges).withColumns({"_rank": (F.row_number().over(w) - 1).cast("long"), "_in": F.count(F.lit(1)).over(upto), "_in_sum": F.sum("_x").over(upto)})
     looked = ranges.join(ordered, [*keys, "_lo", "_hi", "_rank"]).select(*keys, "_w", "_frac", F.col("_x").alias("_v"), (F.col("_below") + F.col("_in")).alias("_count"), (F.col("_below_sum") + F.col("_in_sum")).alias("_sum"))
     of = lambda side, c: F.max(F.when(F.col("_w") % 2 == side, F.col(c))).alias(f"{c}{side}")
     both = told.unionByName(looked).groupBy(*keys, F.floor(F.col("_w") / 2).cast("int").alias("at")).agg(F.max("_frac").alias("_frac"), *(of(side, c) for side in (0, 1) for c in ("_v", "_count", "_sum")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Any, Protocol, runtime_checkable
@@ -150,14 +151,18 @@ class MetricsArtifacts:
 
 @dataclass(frozen=True)
 class SimulationResult:
-    """One run. panel, periods and positions are its rows alone; metrics is the tall table of its metrics."""
+    """One run. panel, periods and positions are its rows alone; metrics is the tall table of its metrics, made when it is first asked for."""
 
     run_id: str
     config: SimConfig
     panel: DataFrame = field(repr=False)
     periods: DataFrame = field(repr=False)
     positions: DataFrame = field(repr=False)
-    metrics: DataFrame = field(repr=False)
+    measure: Callable[[], DataFrame] = field(repr=False)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return self.measure()
 
     @property
     def returns(self) -> DataFrame:

@@ -30,8 +30,8 @@ class Runs:
     def result(self, run_id: str, wide: DataFrame | None = None) -> SimulationResult:
         own = lambda df: df.filter(F.col("run_id") == run_id)
         panel, periods, positions = map(own, (self.panel, self.periods, self.positions))
-        wide = metrics.facts(panel, periods, positions, self.config) if wide is None else own(wide)
-        return SimulationResult(run_id, self.config, panel, periods, positions, metrics.tall(wide))
+        measure = lambda: metrics.tall(metrics.facts(panel, periods, positions, self.config) if wide is None else own(wide))
+        return SimulationResult(run_id, self.config, panel, periods, positions, measure)
 
 
 def checked(panel: DataFrame, config: SimConfig) -> DataFrame:

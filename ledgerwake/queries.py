@@ -62,6 +62,11 @@ def periods_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.periods(replayed(spark, sf_dir))
 
 
+def periods_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periods for what reads them more than once: the replay is written."""
+    return replay.periods(written(replayed(spark, sf_dir), "replayed"))
+
+
 def positions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.positions(replayed(spark, sf_dir))
 
@@ -72,7 +77,7 @@ CELL = "t_idx:int ts asset asset_idx:int"
 
 @query(f"{CELL} | close exec funding", "SELECT * FROM panel")
 def panel_dense(spark, sf_dir):
-    return panel_of(spark, sf_dir)
+    return market.market(spark, sf_dir)
 
 
 @query(f"{CELL} | weight", "SELECT * FROM panel")
@@ -147,7 +152,9 @@ def n_positions(spark, sf_dir):
 
 @query(f"{AT} | transaction_costs", "SELECT *, coalesce((fees + slippage) / nullif(equity, 0), 0) AS transaction_costs FROM periods")
 def transaction_costs(spark, sf_dir):
-    return curves.artifacts(periods_of(spark, sf_dir), positions_of(spark, sf_dir), panel_of(spark, sf_dir))
+    panel = panel_of(spark, sf_dir)
+    own = written(replay.replay(panel, CONFIG), "replayed")
+    return curves.artifacts(replay.periods(own), replay.positions(own), panel)
 
 
 def _gap_free(spark, sf_dir):
@@ -168,7 +175,7 @@ def simulate_frictionless_replayed(spark, sf_dir):
 
 @query(f"{AT} | equity peak drawdown", "SELECT * FROM drawdowns")
 def drawdown_curve(spark, sf_dir):
-    return curves.with_drawdown(periods_of(spark, sf_dir))
+    return curves.with_drawdown(periods_kept(spark, sf_dir))
 
 
 @query(f"{AT} | rolling_sharpe", oracle.ROLLING_SHARPE)
@@ -188,12 +195,12 @@ def benchmark_curve(spark, sf_dir):
 
 @query("drawdown_duration:bigint", "SELECT drawdown_duration FROM duration")
 def drawdown_duration(spark, sf_dir):
-    return curves.drawdown_durations(periods_of(spark, sf_dir))
+    return curves.drawdown_durations(periods_kept(spark, sf_dir))
 
 
 @query("trough:int peak_at:int | time_to_recovery", "SELECT * FROM recovery")
 def time_to_recovery(spark, sf_dir):
-    return curves.recoveries(periods_of(spark, sf_dir))
+    return curves.recoveries(periods_kept(spark, sf_dir))
 
 
 @query("| holding_period", "SELECT * FROM holding")
@@ -351,7 +358,7 @@ def _grid_panel(spark, sf_dir):
 
 def _grid_table(spark, sf_dir):
     """All combinations in one job: each is a run of one panel."""
-    own = replay.replay(_grid_panel(spark, sf_dir), CONFIG)
+    own = written(replay.replay(_grid_panel(spark, sf_dir), CONFIG), "replayed")
     found = metrics.period_facts(replay.periods(own), CONFIG, tail=False).select("run_id", F.col("sharpe").alias("objective_value"))
     runs = spark.createDataFrame([(r, 0, "lookback x power", k, a, b) for k, (r, a, b) in enumerate(oracle.GRID)], "run_id string, grid_index int, grid_name string, position int, lookback int, power double")
     return runs.join(found, "run_id", "left")
@@ -448,7 +455,7 @@ def panel_from_feather(spark, sf_dir):
 @query(f"{AT} | equity", f"SELECT *, {oracle.INIT} * product(1 + ret) OVER (ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS equity FROM (SELECT * EXCLUDE (equity) FROM periods)")
 def compounded_equity(spark, sf_dir):
     """Equity from returns alone, as a report shows it where a result has no equity."""
-    return curves.compounded(periods_of(spark, sf_dir).drop("equity"), oracle.INIT)
+    return curves.compounded(periods_kept(spark, sf_dir).drop("equity"), oracle.INIT)
 
 
 @query(f"{CELL} | weight close exec funding", "SELECT * FROM panel")
@@ -488,12 +495,12 @@ def synthetic_market(spark, sf_dir):
 
 def _fold_panel(spark, sf_dir):
     panel = panel_of(spark, sf_dir)
-    return folds.with_folds(panel, folds.zoned_boundaries(*folds.span_of(panel), "1YE"), 3)
+    return written(folds.with_folds(panel, folds.zoned_boundaries(*folds.span_of(panel), "1YE"), 3), "folds")
 
 
 def _fold_facts(spark, sf_dir):
     panel = _fold_panel(spark, sf_dir)
-    own = replay.replay(panel, CONFIG)
+    own = written(replay.replay(panel, CONFIG), "replayed")
     found = metrics.period_facts(replay.periods(own), CONFIG, tail=False).select("run_id", "total_return_pct", "sharpe", "max_drawdown_pct", "fees_paid")
     return folds.fold_rows(panel).join(found, "run_id")
 
