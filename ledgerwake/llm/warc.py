@@ -59,52 +59,82 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
+    """Header fields after the first line, names in lower case. Blanks around a value don't count, a line that begins with one continues the value before it, and of a repeated name the first counts."""
+    fields, last = {}, None
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and last is not None:
+            fields[last] = f"{fields[last]} {line.strip()}".strip()
+        elif colon and (last := name.strip().lower()) not in fields:
+            fields[last] = value.strip()
+        else:
+            last = None
+    return fields
 
 
 def parse_record(record: bytes) -> dict:
-    """The row of RECORDS of one whole record; a response's size and digest are those of the payload that it holds."""
+    """The row of RECORDS of one whole record, with record_id and target_uri (null where it has none).
+
+    The payload of an HTTP message is what follows its head, as stored; of any other block (warcinfo, metadata, a resource) it is
+    the block. A revisit holds no payload: its size and digest are those that it tells, null where it tells none. page_id and
+    refers_to are those of records written here; others have none.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1."):
+    if not head.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {head[:40]!r}")
     fields = _fields(head)
-    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    number = lambda name: int(fields[name]) if name in fields else None
-    revisit = fields["warc-type"] == "revisit"
+    payload, http = rest[: int(fields["content-length"])], {}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        message, _, payload = payload.partition(b"\r\n\r\n")
+        http = _fields(message)
+    number = lambda of, name: int(of[name]) if of.get(name, "").isdecimal() else None
+    kind = fields["warc-type"].lower()
+    told = fields.get("warc-payload-digest")
     return {
-        "page_id": number("x-page-id"), "payload_bytes": int(_fields(http)["content-length"]) if revisit else len(payload),
-        "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:") if revisit else payload_digest(payload),
-        "record_type": fields["warc-type"], "refers_to": number("x-refers-to-page-id"),
+        "page_id": _page(fields, "x-page-id"), "payload_bytes": number(http, "content-length") if kind == "revisit" else len(payload),
+        "payload_digest": (told and told.removeprefix("sha1:")) if kind == "revisit" else payload_digest(payload),
+        "record_type": kind, "refers_to": _page(fields, "x-refers-to-page-id"),
+        "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"),
     }
 
 
+def _page(fields: dict[str, str], name: str) -> int | None:
+    return int(fields[name]) if name in fields else None
+
+
 def split_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The records of an inflated stream, one at a time: no more than one record and one chunk are held."""
+    """The records of an inflated stream, one at a time, byte for byte: no more than one record and one chunk are held. Line ends before a record are skipped."""
     data = bytearray()
     for chunk in chunks:
         data += chunk
-        while (at := data.find(b"\r\n\r\n")) >= 0:
+        while True:
+            while data[:2] == b"\r\n":
+                del data[:2]
+            if (at := data.find(b"\r\n\r\n")) < 0:
+                break
             end = at + 4 + int(_fields(bytes(data[:at]))["content-length"]) + 4
             if len(data) < end:
                 break
             yield bytes(data[:end])
             del data[:end]
-    if data:
+    if data.strip(b"\r\n"):
         raise ValueError(f"the stream ends inside a record, after {len(data)} bytes of it")
 
 
 def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """What a gzip file holds, whether one stream or many members. A file that ends inside of one is an error, wherever the cut falls."""
-    stream, begun = zlib.decompressobj(_GZIP), False
+    """What a gzip file holds, whether one stream or many members, with zero bytes after any of them. A file that ends inside of one is an error, wherever the cut falls."""
+    stream, begun, ended = zlib.decompressobj(_GZIP), False, False
     for chunk in chunks:
-        begun = begun or bool(chunk)
         while chunk:
+            if ended and not begun and not (chunk := chunk.lstrip(b"\0")):
+                break
+            begun = True
             if got := stream.decompress(chunk, 4 * _CHUNK):
                 yield got
             chunk = stream.unconsumed_tail
             if stream.eof:
                 chunk, stream = stream.unused_data, zlib.decompressobj(_GZIP)
-                begun = bool(chunk)
+                begun, ended = False, True
     if begun:
         raise ValueError("the gzip stream ends before its trailer")
 
@@ -184,7 +214,10 @@ def _make(folder: str) -> None:
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Inflates each archive once, rewrites every record as a gzip member of its own, and writes a sidecar index (JSON lines of offset, length, page_id, record_type, digest) beside it. The table (path, index_path, n_records), written."""
+    """Inflates each archive once, rewrites every record as a gzip member of its own, and writes a sidecar index (JSON lines of offset, length, page_id, record_type, digest, record_id, target_uri) beside it. The table (path, index_path, n_records), written.
+
+    Archives may be others' too: padding, records of every type and header fields in any form come through as they are.
+    """
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -201,7 +234,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     for record in split_stream(inflate(_chunks(read))):
                         packed, row = member(record, level), parse_record(record)
                         write.write(packed)
-                        entry = {"offset": offset, "length": len(packed), "page_id": row["page_id"], "record_type": row["record_type"], "digest": row["payload_digest"]}
+                        entry = {"offset": offset, "length": len(packed), "page_id": row["page_id"], "record_type": row["record_type"], "digest": row["payload_digest"], "record_id": row["record_id"], "target_uri": row["target_uri"]}
                         index.write(json.dumps(entry).encode() + b"\n")
                         offset, n = offset + len(packed), n + 1
                 yield pd.DataFrame({"path": [path], "index_path": [f"{path}.idx"], "n_records": [n]})
@@ -221,9 +254,9 @@ def read_index(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 system, inner = _open(index_path)
                 with system.open_input_stream(inner, compression=None) as file:
                     found = [json.loads(x) for x in file.readall().splitlines()]
-                yield pd.DataFrame({"path": path, "offset": [e["offset"] for e in found], "length": [e["length"] for e in found], "page_id": pd.array([e["page_id"] for e in found], "Int64"), "record_type": [e["record_type"] for e in found]})
+                yield pd.DataFrame({"path": path, "offset": [e["offset"] for e in found], "length": [e["length"] for e in found], "page_id": pd.array([e["page_id"] for e in found], "Int64"), **{c: pd.array([e[c] for e in found], "string") for c in ("record_type", "record_id", "target_uri")}})
 
-    return archives.select("path", "index_path").mapInPandas(entries, "path string, offset long, length long, page_id long, record_type string")
+    return archives.select("path", "index_path").mapInPandas(entries, "path string, offset long, length long, page_id long, record_type string, record_id string, target_uri string")
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -241,7 +274,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                         file.seek(entry["offset"])
                         found.append(parse_record(zlib.decompress(file.read(entry["length"]), _GZIP)))
                 out = pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     return archives.select("path", "index_path").repartition(max(1, archives.count()), "path").mapInPandas(read, RECORDS)
 
