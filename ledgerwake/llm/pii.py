@@ -7,6 +7,8 @@ A null text has no spans. All patterns take time in proportion to the text.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +29,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Patterns of the added kinds.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2})[0-9]{2}\x20?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(
-    r"""(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)"?\x20{0,3}[:=]\x20{0,3}["']?([a-z0-9+/_=.-]{8,}+)"""
+_NAMED = re.compile(
+    r"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20{0,3}[:=]\x20{0,3}["']?([A-Za-z0-9+/_=.$!@#%^*?~-]{8,}+)"""
 )
+_BEARER = re.compile(r"""(?i)(?<![a-z])(authorization["']?\x20{0,3}[:=]\x20{0,3}["']?)?(?:bearer|basic)\x20{1,3}([a-z0-9+/_.~-]{8,}+=*+)""")
+_WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+)\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{8,}+")
 # Countries and the lengths of their account numbers.
 IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
@@ -44,7 +48,7 @@ FOR = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "whatsapp"),
     "iban": ("iban", "bank", "account", "transfer", "swift", "bic"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
-    "secret": ("key", "token", "secret", "password", "passwd", "apikey", "accesskey", "privatekey", "login", "credentials"),
+    "secret": ("key", "token", "secret", "password", "passwd", "apikey", "accesskey", "privatekey", "login", "credentials", "authorization", "header"),
 }
 AGAINST = {
     "ip": ("version", "release", "section", "chapter"),
@@ -54,7 +58,7 @@ AGAINST = {
     "ssn": ("part", "model", "sku"),
     "secret": ("example", "placeholder", "changeme"),
 }
-_PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.5}
+_PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.7}
 _NEAR_WORD = re.compile(r"[a-z]+")
 
 
@@ -102,8 +106,44 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, after)
 
 
-def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
-    """Spans whose pattern matches and whose check holds; leftmost, not overlapping within a kind; of the base kinds, no second try in one that fails."""
+def _mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _is_token_head(part: str) -> bool:
+    """Whether the first part of a web token is the base64 of a JSON object that names its algorithm."""
+    try:
+        head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(head, dict) and "alg" in head
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, int]]:
+    """Values of named settings and of bearer headers, and web tokens wherever they stand: (start, end, start of the name); leftmost and longest, not overlapping."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [(*m.span(1), m.start()) for m in _NAMED.finditer(text) if _mixed(m[1])]
+    found += [(*m.span(2), m.start()) for m in _BEARER.finditer(text) if m[1] or (len(m[2]) >= 20 and _mixed(m[2]))]
+    if "eyJ" in text:
+        found += [(*m.span(), m.start()) for m in _WEB_TOKEN.finditer(text) if _is_token_head(m[1])]
+    done = 0
+    for start, end, name in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if start >= done:
+            yield start, end, name
+            done = end
+
+
+def _proposals(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Spans whose pattern matches and whose check holds, and where what they belong to begins; leftmost, not overlapping within a kind; of the base kinds, no second try in one that fails."""
+    for kind, start, end in _numbers(text):
+        yield kind, start, end, start
+    for start, end, name in _secrets(text):
+        yield "secret", start, end, name
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """The proposals of all kinds but secret."""
     for start, end in _emails(text):
         yield "email", start, end
     for m in _IP.finditer(text):
@@ -123,14 +163,10 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span()
-    if "=" in text or ":" in text:
-        for m in _SECRET.finditer(text):
-            value = m.group(1)
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-                yield "secret", *m.span(1)
 
 
 def _score(text: str, kind: str, start: int, end: int, window: int) -> float:
+    """The prior of the kind, moved by the words beside the span; a secret's own name isn't one of them."""
     near = set(_NEAR_WORD.findall((text[max(0, start - window) : start] + " " + text[end : end + window]).lower()))
     lift = 0.2 * any(w in near for w in FOR[kind]) - 0.3 * any(w in near for w in AGAINST.get(kind, ()))
     return min(1.0, max(0.0, _PRIOR[kind] + lift))
@@ -139,8 +175,8 @@ def _score(text: str, kind: str, start: int, end: int, window: int) -> float:
 def find_spans(text: str | None, threshold: float = 0.6, window: int = 40) -> list[Span]:
     """All spans by start, then kind in the order of KINDS."""
     found = []
-    for kind, start, end in _proposals(text or ""):
-        score = _score(text, kind, start, end, window)
+    for kind, start, end, name in _proposals(text or ""):
+        score = _score(text, kind, name, end, window)
         if kind in BASE_KINDS or score >= threshold:
             found.append(Span(kind, start, end, score))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))

@@ -1,4 +1,7 @@
+import base64
+import json
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,3 +71,39 @@ def test_context_changes_scores():
     score = lambda x, kind: next(s.score for s in pii.find_spans(x) if s.kind == kind)
     for kind, near, far, value in (("card", "visa", "invoice", "4111 1111 1111 1111"), ("ip", "server", "version", "10.1.2.3"), ("phone", "call", "score", "+1 555 010 9999")):
         assert score(f"{near} {value}", kind) > score(f"x {value}", kind) > score(f"{far} {value}", kind)
+
+
+def web_token(head='{"alg":"HS256","typ":"JWT"}'):
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    return f"{part(head)}.{part(json.dumps({'sub': 'me'}))}.{'aB3_-' * 6}"
+
+
+def test_secrets_are_masked_whole():
+    masked = lambda x: pii.mask(x, pii.find_spans(x))
+    token = web_token()
+    assert masked("accessToken: abcd1234efgh, x") == "accessToken: <SECRET>, x"
+    assert masked("{'clientSecret': 'abcd1234efgh'}") == "{'clientSecret': '<SECRET>'}"
+    assert masked("password=Pa$$w0rd1234 ok") == "password=<SECRET> ok"
+    assert masked(f"Authorization: Bearer {token}\nHost: x") == "Authorization: Bearer <SECRET>\nHost: x"
+    assert masked("authorization: Basic dXNlcjpwYXNz==") == "authorization: Basic <SECRET>"
+    assert masked(f"sent {token} twice {token}.") == "sent <SECRET> twice <SECRET>."
+    assert masked(f"token={token}") == "token=<SECRET>" and masked("bearer 0123456789abcdef0123") == "bearer <SECRET>"
+
+
+def test_what_is_no_secret():
+    kinds = lambda x: [s.kind for s in pii.find_spans(x)]
+    for text in ("the bearer understanding1 of", "basic mathematics and", "broken: abcd1234efgh", "mytoken: abcd1234efgh", "password: hunterhunter", f"sent {web_token('{}')}", "eyJhbGciOiJI.eyJhbGciOiJI.eyJhbGciOiJI", "Authorization: none12345678"):
+        assert kinds(text) == [], text
+
+
+def test_words_beside_a_secret_decide():
+    kinds = lambda x: [s.kind for s in pii.find_spans(x)]
+    value = "token: abcd1234efgh"
+    assert kinds(value) == ["secret"] and kinds(f"example {value}") == [] and kinds(f"example login {value}") == ["secret"]
+
+
+def test_long_runs_without_a_secret():
+    begun = time.perf_counter()
+    for text in ("eyJ" * 100_000, "eyJaaaaaaaaaa." * 30_000, "token" * 60_000, "authorization: " * 20_000, "bearer " * 40_000, "aT" * 100_000 + "=" * 100_000):
+        assert [s for s in pii.find_spans(text) if s.kind == "secret"] == []
+    assert time.perf_counter() - begun < 20
