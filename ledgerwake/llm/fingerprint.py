@@ -7,12 +7,13 @@ choice of optimal densification. Of each bin the low BITS bits are stored, and l
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, spare, written
+from .common import WORD_SQL, small_side, spare, written
 
 BIN_BITS = 7
 N_BINS = 1 << BIN_BITS
@@ -81,40 +82,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(estimate)
 
 
-def _ranges(docs: DataFrame, id_col: str, rows_each: int, most: int) -> Column:
-    """A column that numbers ranges of rising ids, of about equal numbers of rows, from 1 (0: null ids). The boundaries, most at most, are a literal that is searched in halves."""
-    n = min(most, docs.count() // rows_each + 1)
-    bounds = sorted(set(docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []))
-    if not bounds:
-        return F.when(F.col(id_col).isNull(), 0).otherwise(1)
-    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+def _ranges(docs: DataFrame, id_col: str, tie: Column, rows_each: int, most: int) -> Column:
+    """A column that numbers ranges of rising ids, and of falling ties of one id, of about rows_each rows: a long that rises with them, null ids first.
+
+    Quantiles of the ids, most at most, are a literal that is searched in halves. Beyond so many ranges each is cut into equal
+    stretches of ids; ids that several quantiles fall on, and null, are cut by the tie, a number of 32 bits.
+    """
+    id_ = F.col(id_col).cast("long")
+    state = docs.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("n_known"), F.min(id_).alias("least")).first()
+    cut = lambda parts: parts - 1 - F.shiftright(tie * parts, 32)
+    of_null = cut(F.lit((state["n"] - state["n_known"]) // rows_each + 1).cast("long"))
+    if not state["n_known"]:
+        return of_null
+    wanted = state["n_known"] // rows_each + 1
+    n, stretches = min(most, wanted), -(-wanted // most)
+    quantiles = docs.agg(F.percentile_approx(id_, [k / n for k in range(1, n + 1)], 100 * n)).first()[0]
+    times = Counter(quantiles)
+    bounds = sorted(times)
+    held = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    highs, lows, parts = held(bounds), held([state["least"], *bounds]), held([*((times[b] - 1) * stretches + 1 for b in bounds), 1])
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < F.col(id_col), at + step).otherwise(at))
-    return F.when(F.col(id_col).isNull(), 0).otherwise(below + 1)
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(highs, at + step - 1) < id_, at + step).otherwise(at))
+
+    def within(at: Column) -> Column:
+        low, high = F.get(lows, at).cast("double"), F.get(highs, at).cast("double")
+        stretch = F.least(F.floor((id_ - low) / F.greatest(high - low, F.lit(1.0)) * stretches), F.lit(stretches - 1))
+        inside = F.when(F.get(highs, at) == id_, stretches + cut(F.get(parts, at))).otherwise(F.coalesce(stretch, F.lit(0)))
+        return (at + 1).cast("long") * (1 << 40) + inside.cast("long")
+
+    return F.when(id_.isNull(), of_null).otherwise(bound_to(at, within))
 
 
 def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, id_col: str = "doc_id", rows_each: int = 1000, most: int = 1 << 14) -> DataFrame:
-    """docs with the derived columns, made from the columns, and with next_<name> for columns and derived ones alike: their values in the row after it by descending id (null ids last), in the first row after the last. Equal ids go by the columns in turn.
+    """docs with the derived columns, made from the columns, and with next_<name> for columns and derived ones alike: their values in the row after it by descending id (null ids last), in the first row after the last. Equal ids go by the upper 32 bits of the columns' xxhash64, unsigned, then by the columns in turn.
 
-    Rows are dealt by ranges of ids, and followed within each range by a window. A range's last row is followed by the first
-    of the next range that has rows: the numbers of those ranges alone, most at most, are ordered in one task, and the first rows
-    are joined by them. A single row is followed by itself; an empty table stays empty. Repeated rows follow each other; a very
-    long text is handed on whole. An extra column called next_<name> gives way, others may have any name.
+    Rows are dealt by ranges of ids, and of hashes where one id has many rows, and followed within each range by a window; the
+    ranges grow in number and not in rows. A range's last row is followed by the first of the next range that has rows: the
+    numbers of those ranges alone are ordered in one task, and the first rows are joined by them. A single row is followed by
+    itself; an empty table stays empty. Repeated rows follow each other; a very long text is handed on whole. An extra column
+    called next_<name> gives way, others may have any name.
     """
     derived = derived or {}
     names = [*columns, *derived]
-    own = {k: spare(f"_{k}", [*docs.columns, *names]) for k in ("range", "r", "high", "head", "inside", "n", "next")}
+    own = {k: spare(f"_{k}", [*docs.columns, *names]) for k in ("range", "tie", "r", "high", "head", "inside", "n", "next")}
     following = {c: f"next_{c}" for c in names}
     after, inner = ({c: spare(f"_{what}_{c}", docs.columns) for c in names} for what in ("after", "inside"))
-    dealt = docs.withColumn(own["range"], _ranges(docs, id_col, rows_each, most))
-    highest = dealt.groupBy(F.col(own["range"]).alias(own["r"])).agg(F.max(id_col).alias(own["high"]))
-    heads = dealt.join(F.broadcast(highest), (F.col(own["range"]) == F.col(own["r"])) & F.col(id_col).eqNullSafe(F.col(own["high"])))
-    heads = heads.groupBy(own["range"]).agg(F.min(F.struct(*columns)).alias(own["head"])).select(own["range"], f"{own['head']}.*").withColumns(derived)
+    tie = F.shiftrightunsigned(F.xxhash64(*columns), 32)
+    dealt = docs.withColumn(own["tie"], tie).withColumn(own["range"], _ranges(docs, id_col, F.col(own["tie"]), rows_each, most))
+    highest = small_side(written(dealt.groupBy(F.col(own["range"]).alias(own["r"])).agg(F.max(id_col).alias(own["high"])), "range-ids"))
+    heads = dealt.join(highest, (F.col(own["range"]) == F.col(own["r"])) & F.col(id_col).eqNullSafe(F.col(own["high"])))
+    heads = heads.groupBy(own["range"]).agg(F.min(F.struct(own["tie"], *columns)).alias(own["head"])).select(own["range"], *(F.col(f"{own['head']}.{c}").alias(c) for c in columns)).withColumns(derived)
     heads = written(heads.select(F.col(own["range"]).alias(own["n"]), *(F.col(c).alias(after[c]) for c in names)), "range-heads")
     falling = Window.partitionBy(F.lit(0)).orderBy(F.desc(own["n"]))
     order = heads.select(F.col(own["n"]).alias(own["range"]), F.coalesce(F.lead(own["n"]).over(falling), F.first(own["n"]).over(falling)).alias(own["next"]))
     heads = order.join(heads, F.col(own["next"]) == F.col(own["n"])).drop(own["n"], own["next"])
-    inside = Window.partitionBy(own["range"]).orderBy(F.col(id_col).desc_nulls_last(), *(F.col(c).asc_nulls_first() for c in columns))
+    inside = Window.partitionBy(own["range"]).orderBy(F.col(id_col).desc_nulls_last(), own["tie"], *(F.col(c).asc_nulls_first() for c in columns))
     followed = dealt.withColumns(derived).select("*", *(F.lead(c).over(inside).alias(inner[c]) for c in names), F.lead(F.lit(True)).over(inside).alias(own["inside"]))
     joined = followed.join(heads, own["range"], "left")
     kept = [c for c in [*docs.columns, *derived] if c.lower() not in {x.lower() for x in following.values()}]

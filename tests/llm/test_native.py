@@ -3,6 +3,8 @@ import math
 import time
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerwake.llm import fingerprint, mixing
@@ -27,6 +29,26 @@ def test_next_row_by_falling_id(docs_of):
     assert fingerprint.with_next(docs.limit(0), ["text"]).count() == 0
 
 
+@pytest.mark.parametrize("rows_each, most", [(2, 3), (5, 1 << 14), (1000, 2)])
+def test_next_row_among_hot_ids(spark, rows_each, most):
+    ids = [7] * 60 + [None] * 40 + list(range(30)) + list(range(1000, 1400, 17)) + [2**60, -5, -5, -5]
+    texts = [None if k == 3 else "same" if k > len(ids) - 4 else f"text {k}" for k in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    tie = lambda x: 42 if x is None else xxhash.xxh64_intdigest(x.encode(), seed=42)
+    place = lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]) >> 32, r[1] or "")
+    falling = sorted(zip(ids, texts), key=place)
+    expected = Counter((*a, b[1]) for a, b in zip(falling, falling[1:] + falling[:1]))
+    assert Counter(map(tuple, fingerprint.with_next(docs, ["text"], rows_each=rows_each, most=most).select("doc_id", "text", "next_text").collect())) == expected
+
+
+def test_ranges_grow_in_number(spark):
+    rows = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 77).when(F.col("id") % 7 > 1, F.col("id") * 5).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 32)
+    for most in (16, 1 << 14):  # with few quantiles as with many
+        sizes = [r["count"] for r in rows.groupBy(fingerprint._ranges(rows, "doc_id", tie, 100, most).alias("r")).count().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 300 and len(sizes) > 150
+
+
 def test_poisson_counts(docs_of):
     source = ["hot"] * 60 + ["cold"] * 20 + [None] * 10 + ["blank"] * 2
     texts = ["x" * 100] * 60 + ["y" * 40] * 20 + ["z"] * 10 + [None, ""]
