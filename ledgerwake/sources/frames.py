@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import MarketData
 from ..functions.stats import finite
 from ..functions.zones import with_zone
-from .written import written
+from .written import observed
 
 PANEL = ["run_id", "t_idx", "ts", "asset", "asset_idx", "weight", "close", "exec", "funding"]
 
@@ -57,44 +57,51 @@ def market_panel(spark: SparkSession, weights: Any, market: MarketData) -> DataF
         raise ValueError("close_prices must be floats")
     single = isinstance(market.close_prices, pd.Series)
     sides = [("exec", market.exec_prices), ("weight", weights), *([("funding", market.funding_rates)] if market.funding_rates is not None else [])]
-    rows = close.select("ts", "asset", F.lit("close").alias("side"), F.col("close").cast("double").alias("value"))
+    no_order = F.lit(None).cast(dict(close.dtypes).get("asset_order", "int"))
+    order = F.col("asset_order") if "asset_order" in close.columns else no_order
+    rows = close.select("ts", "asset", F.lit("close").alias("side"), F.col("close").cast("double").alias("value"), order.alias("asset_order"))
     for name, x in sides:
         side = long_frame(spark, x, name)
         if single and isinstance(x, pd.Series):
             side = side.withColumn("asset", F.lit(str(market.close_prices.name or "close")))
-        rows = rows.unionByName(side.select("ts", "asset", F.lit(name).alias("side"), F.col(name).cast("double").alias("value")))
+        rows = rows.unionByName(side.select("ts", "asset", F.lit(name).alias("side"), F.col(name).cast("double").alias("value"), no_order.alias("asset_order")))
     names = ["close", *(n for n, _ in sides)]
+    cells, index = _cells_and_index(rows, names)
+    cells = with_zone(cells, market.time_zone or index_zone(market.close_prices))
+    if "funding" not in names:
+        cells = cells.withColumn("funding", F.lit(0.0))
+    periods = index.filter("of_asset = 0").select("ts", F.col("number").alias("t_idx"))
+    assets = index.filter("of_asset = 1").select("asset", F.col("number").alias("asset_idx"))
+    values = [finite(F.col(c).cast("double")).alias(c) for c in ("weight", "close", "exec", "funding")]
+    return cells.join(periods, "ts").join(assets, "asset").select(F.lit("run").alias("run_id"), "t_idx", "ts", "asset", "asset_idx", *values)
+
+
+def _cells_and_index(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The dense cells (ts, asset, a column for each name) and the numbers of their periods and assets (of_asset, ts, asset, number), both written. That every table has every cell once is observed while they are written, so that no job is there to check it.
+
+    Only the distinct periods and the distinct assets, which grow with neither's product, are numbered in one task each.
+    """
     of = lambda n: F.when(F.col("side") == n, F.col("value"))
     times = lambda n: F.count_if(F.col("side") == n)
     # one grouping of all tables: each must hold each cell once
-    cells = written(rows.groupBy("ts", "asset").agg(*(F.max(of(n)).alias(n) for n in names), *(times(n).alias(f"_in_{n}") for n in names)), "cells")
+    cells = rows.groupBy("ts", "asset").agg(*(F.max(of(n)).alias(n) for n in names), F.min("asset_order").alias("asset_order"), *(times(n).alias(f"_in_{n}") for n in names))
     lacking = F.coalesce(*(F.when(F.col(f"_in_{n}") == 0, n) for n in names))
     repeated = F.greatest(*(F.col(f"_in_{n}") for n in names))
-    state = cells.agg(F.count(F.lit(1)).alias("n"), F.max(lacking).alias("lacking"), F.max(repeated).alias("most")).first()
-    n_periods, n_assets = cells.select("ts").distinct().count(), cells.select("asset").distinct().count()
+    cells, state = observed(cells, "cells", ["ts", "asset", "asset_order", *names], n=F.count(F.lit(1)), lacking=F.max(lacking), most=F.max(repeated))
+    kinds = cells.groupingSets([["ts"], ["asset"]], "ts", "asset").agg(F.grouping("ts").cast("int").alias("of_asset"), F.min("asset_order").alias("_order"))
+    number = F.row_number().over(Window.partitionBy("of_asset").orderBy("ts", "_order", "asset")) - 1
+    # the order of a period's assets says nothing of the period: ts comes first there, and is null for all assets
+    index, seen = observed(kinds.withColumn("number", number.cast("int")), "index", ["of_asset", "ts", "asset", "number"], **{f"n_{k}": F.count_if(F.col("of_asset") == k) for k in (0, 1)})
     if state["lacking"]:
         raise ValueError(f"all tables must have the same periods and assets; {state['lacking']} differs")
-    if state["n"] and (state["most"] > 1 or state["n"] != n_periods * n_assets):
+    if state["n"] and (state["most"] > 1 or state["n"] != seen["n_0"] * seen["n_1"]):
         raise ValueError("each period must hold each asset once")
-    if n_periods < 3:
+    if (seen["n_0"] or 0) < 3:
         raise ValueError("at least 3 periods are needed")
-    cells = with_zone(cells.select("ts", "asset", *names), market.time_zone or index_zone(market.close_prices))
-    if "funding" not in names:
-        cells = cells.withColumn("funding", F.lit(0.0))
-    if "asset_order" not in close.columns:
-        return numbered(cells)
-    return numbered(cells.join(close.groupBy("asset").agg(F.min("asset_order").alias("asset_order")), "asset"), "asset_order")
+    return cells.drop("asset_order"), index
 
 
 def index_zone(x: Any) -> str | None:
     """The name of a pandas index's time zone."""
     zone = getattr(getattr(x, "index", None), "tz", None)
     return None if zone is None else str(zone)
-
-
-def numbered(cells: DataFrame, asset_order: str = "asset", run_id: str = "run") -> DataFrame:
-    """The panel of one run from dense cells (ts, asset, weight, close, exec, funding). Only the tables of distinct periods and of distinct assets, which grow with neither's product, are numbered in one task."""
-    periods = cells.select("ts").distinct().withColumn("t_idx", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
-    assets = cells.groupBy("asset").agg(F.min(asset_order).alias("_order")).withColumn("asset_idx", (F.row_number().over(Window.orderBy("_order")) - 1).cast("int")).drop("_order")
-    values = [finite(F.col(c).cast("double")).alias(c) for c in ("weight", "close", "exec", "funding")]
-    return cells.join(periods, "ts").join(assets, "asset").select(F.lit(run_id).alias("run_id"), "t_idx", "ts", "asset", "asset_idx", *values)

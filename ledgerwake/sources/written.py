@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _folders: dict[str, str] = {}
 
@@ -35,3 +35,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, columns: list[str], **metrics: Column) -> tuple[DataFrame, dict]:
+    """The columns of df, written, and aggregates of df that the same job gathers on the way."""
+    watch = Observation()
+    table = written(df.observe(watch, *(value.alias(key) for key, value in metrics.items())).select(*columns), name)
+    return table, watch.get
