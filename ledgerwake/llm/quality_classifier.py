@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Recent, spare, unit_hash
+from .common import WORD, Recent, spare, unit_hash, written
 
 N_BUCKETS = 1 << 22
 #: How much a share of 1 counts against the 1 of a word that is there.
@@ -32,6 +32,8 @@ START = 5
 LEAST_CHANCE, LEAST_CUT = 0.85, 0.5
 #: Parts of the ratings; each is graded by a model of the others to find the cut.
 N_FOLDS = 4
+#: About the most rated texts, and the most distinct buckets of all of them together, that are learned from: see sample.
+MOST_ROWS, MOST_ENTRIES = 16_000, 1 << 23
 #: Entries that the driver works on at a time, and tasks in which the sample is told apart.
 SLICE, SAMPLE_TASKS = 1 << 20, 32
 _CORE = re.compile(r"[^\W\d_]+")
@@ -222,11 +224,15 @@ def grade_column(quality: str = "quality", toxic: str = "toxic") -> Column:
     return (F.col(quality) * (2 - F.col(toxic))).cast("int")
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = 16_000, least_chance: float = LEAST_CHANCE) -> tuple[OrdinalModel | None, float]:
-    """The model, and the chance of the highest grade from which a document is kept. Learns from ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id: the bound of what the driver gathers. A rating, or a row of docs, that is repeated counts once, so that no id can bring more rows than it has texts and grades. Null ids, grades and texts aren't used. The model is None if fewer than two grades are left: then there is nothing to tell apart. Where no word or shape tells the grades apart, the cut is 0."""
+def sample(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """The rated texts to learn from, as a written table of id_hash, grade, key (the text's hash), bucket and value; each of these triples once.
+
+    Ratings (id_col, grade) of about most_rows documents at most, drawn by a hash of the id, are looked up; of the rows found,
+    as many as have about most_entries buckets together, and are about most_rows, are drawn by a hash of the three. So neither
+    long texts, nor an id with many texts, make the sample larger. Null ids, grades and texts aren't used.
+    """
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1)).select(F.col(id_col).alias("_rated_id"), "grade").distinct()
-    part = most_rows / max(1, rated.count())
-    drawn = rated.filter(unit_hash("_rated_id", seed=5) < part)
+    drawn = rated.filter(unit_hash("_rated_id", seed=5) < most_rows / max(1, rated.count()))
 
     order = ["id_hash", "grade", "key"]
 
@@ -245,14 +251,23 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "d
     read = joined.filter(F.col("text").isNotNull()).select(F.xxhash64("_rated_id").alias("id_hash"), "grade", F.xxhash64("text").alias("key"), "text")
     found = read.mapInPandas(features, "id_hash long, grade int, key long, bucket array<int>, value array<float>")
     # a task gives each row once, so that a repeated one doesn't bring its likes together here
-    sample = found.repartition(SAMPLE_TASKS, *order).dropDuplicates(order).sortWithinPartitions(*order).toArrow()
-    grades = sample["grade"].to_numpy().astype(np.int64)
+    rows = written(found.repartition(SAMPLE_TASKS, *order).dropDuplicates(order), "ratings")
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("bucket").cast("long")).alias("entries")).first()
+    part = min(1.0, most_rows / max(1, size["rows"]), most_entries / max(1, size["entries"] or 0))
+    return rows if part == 1 else rows.filter(unit_hash(*order, seed=6) < part)
+
+
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, least_chance: float = LEAST_CHANCE, most_entries: int = MOST_ENTRIES) -> tuple[OrdinalModel | None, float]:
+    """The model, and the chance of the highest grade from which a document is kept. Learns from the sample of the ratings: most_rows and most_entries bound what the driver gathers. A rating, or a row of docs, that is repeated counts once. The model is None if fewer than two grades are left: then there is nothing to tell apart. Where no word or shape tells the grades apart, the cut is 0."""
+    order = ["id_hash", "grade", "key"]
+    rows = sample(docs, ratings, n_grades, id_col, text, most_rows, most_entries).repartition(SAMPLE_TASKS, *order).sortWithinPartitions(*order).toArrow()
+    grades = rows["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None, 0.0
-    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in sample[name].chunks])
-    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample["bucket"].chunks])
-    bucket, value, keys = flat("bucket"), flat("value"), sample["key"].to_numpy()
-    del sample
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks])
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in rows["bucket"].chunks])
+    bucket, value, keys = flat("bucket"), flat("value"), rows["key"].to_numpy()
+    del rows
     pa.default_memory_pool().release_unused()
     model = fit_ordinal(bucket, value, sizes, grades, n_grades)
     if not len(model.buckets):

@@ -74,7 +74,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness. A null text counts as empty. Equal ids, and null ones, which come last, are ordered by their texts; a single row is the next one of itself."""
+    """Fingerprints of every document and of its edited text, and their likeness. A null text counts as empty. Equal ids, and null ones, which come last, are ordered by hashes of their texts, and by the texts where those are equal; a single row is the next one of itself."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     pairs = fingerprint.with_next(docs, ["text"], {"fp": fingerprint.fingerprint(F.col("text"))}).withColumn("n", F.char_length("text"))

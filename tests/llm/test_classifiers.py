@@ -156,3 +156,27 @@ print(next(int(x.split()[1]) // 1024 for x in open("/proc/self/status") if x.sta
     texts = ["the house and the garden " * 8000, "das haus und der garten " * 8000] * 8
     model = language_id.fit(docs_of(texts, lang=["en", "de"] * 8))
     assert model.predict(["the garden and a house", "der garten und ein haus"])[0] == ["en", "de"]
+
+
+def test_sample_is_bounded_in_rows_and_entries(docs_of, spark):
+    """Neither long texts nor an id with many texts make the sample larger; within the bounds every rated text is in it."""
+    long = docs_of([" ".join(f"a{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)) for k in range(200)])
+    ratings = long.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
+    size = lambda rows: rows.agg(F.count(F.lit(1)), F.sum(F.size("bucket"))).first()
+    n, entries = size(quality_classifier.sample(long, ratings))
+    assert n == 200 and entries > 200 * 300
+    n, entries = size(quality_classifier.sample(long, ratings, most_entries=20_000))
+    assert 0 < n < 200 and 10_000 < entries < 30_000
+    many = docs_of([f"text number {k}" for k in range(300)]).withColumn("doc_id", F.lit(7).cast("long"))
+    one = spark.createDataFrame([(7, 2)], "doc_id long, grade int")
+    assert quality_classifier.sample(many, one).count() == 300 and 20 < quality_classifier.sample(many, one, most_rows=50).count() < 90
+    assert quality_classifier.sample(many.limit(0), one).count() == 0
+
+
+def test_select_good_with_null_ids_and_clashing_names(docs_of):
+    docs = docs_of([f"{'vile' if k % 4 == 1 else 'fine'} words w{k % 7} here" for k in range(200)])
+    ratings = docs.filter("doc_id < 120").select("doc_id", F.when(F.col("doc_id") % 4 == 1, 0).otherwise(2).alias("grade"))
+    docs = docs.withColumns({c: F.lit("clash") for c in ("grade", "key", "bucket", "value", "id_hash", "_rated_id", "_doc_id")})
+    docs = docs.withColumns({"place": F.col("doc_id"), "doc_id": F.when(F.col("doc_id") < 160, F.col("doc_id"))})
+    kept = quality_classifier.select_good(docs, ratings.unionByName(ratings.selectExpr("CAST(null AS long) AS doc_id", "2 AS grade")))
+    assert kept.columns == docs.columns and sorted(r.place for r in kept.collect()) == [k for k in range(200) if k % 4 != 1]

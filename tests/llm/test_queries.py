@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -15,7 +16,7 @@ from test_jaccard_join import brute as linked
 from test_katz import Brute
 from test_pii import plain
 
-from ledgerwake.llm import byte_bpe, fingerprint, queries
+from ledgerwake.llm import byte_bpe, fingerprint, quality_classifier, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha256 = lambda x: hashlib.sha256(x).hexdigest()
@@ -102,6 +103,81 @@ def test_op4(rows_of, spark, sf_dir, texts):
     assert sum(a == b for a, b in held) >= 0.9 * len(held) > 0
 
 
+def plain_features(text):
+    """Bucket to value, from the sentence in the module's docstring: words, shares of shapes and repeats, roots of the shares of starts."""
+    words, found = WORD.findall(text), {}
+    runs = [re.findall(r"[^\W\d_]+", w.lower()) for w in words]
+    bucket = lambda kind, x: xxhash.xxh64_intdigest(f"{kind}:{x}".encode()) % quality_classifier.N_BUCKETS
+    for x in {x for own in runs for x in own}:
+        found[bucket("word", x)] = 1.0
+    shapes = Counter(bucket("shape", quality_classifier.shape(w)) for w in words)
+    shapes[bucket("repeat", "")] += sum(a == b for a, b in zip(words, words[1:]))
+    starts = Counter(bucket("start", x[:5]) for own in runs for x in own if len(x) >= 5)
+    found |= {b: 6 * (n / len(words)) ** 0.5 for b, n in starts.items()} | {b: 6 * n / len(words) for b, n in shapes.items() if n}
+    return found
+
+
+def test_op5(spark):
+    """On all of sf0.01: the model against a plain descent on dense rows, its words against plain score tests, every row against its formula."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    ratings = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", quality_classifier.grade_column().alias("grade"))
+    graded = {r.doc_id: r.grade for r in ratings.collect() if r.doc_id in docs}
+    model, cut = quality_classifier.fit(spark.read.parquet(f"{folder}/documents.parquet"), ratings)
+    features = {k: plain_features(x) for k, x in docs.items()}
+    ids = sorted(graded)
+    grades, place = np.array([graded[k] for k in ids]), {b: j for j, b in enumerate(model.buckets.tolist())}
+    dense = np.zeros((len(ids), len(place)))
+    for i, k in enumerate(ids):
+        for b, v in features[k].items():
+            if b in place:
+                dense[i, place[b]] = v
+    assert len(place) > 3 and len(docs) >= len(ids) > 300
+
+    def at(w, cuts):
+        """The penalised loss, its gradient in weights and thresholds, and each row's derivative in w.x."""
+        edge = np.r_[-60.0, cuts, 60.0]
+        below = 1 / (1 + np.exp(-(edge[None, :] - (dense @ w)[:, None]).clip(-60, 60)))
+        below[:, 0], below[:, -1] = 0, 1
+        row, slope = np.arange(len(ids)), below * (1 - below)
+        p = below[row, grades + 1] - below[row, grades]
+        by_level = (slope[row, grades + 1] - slope[row, grades]) / p
+        by_cut = [(slope[row, grades] * (grades == c + 1) - slope[row, grades + 1] * (grades == c)) / p for c in range(len(cuts))]
+        loss = (0.15 * w @ w - np.log(p).sum()) / len(ids)
+        return loss, (dense.T @ by_level + 0.3 * w) / len(ids), np.array([x.sum() for x in by_cut]) / len(ids), by_level
+
+    w, cuts, step = np.zeros(len(place)), np.array([-1.0, 1.0]), 0.1
+    for _ in range(20_000):
+        loss, by_w, by_cuts, _ = at(w, cuts)
+        while step > 1e-9 and (np.diff(cuts - step * by_cuts).min() <= 0 or at(w - step * by_w, cuts - step * by_cuts)[0] > loss - step / 2 * (by_w @ by_w + by_cuts @ by_cuts)):
+            step /= 2
+        w, cuts, step = w - step * by_w, cuts - step * by_cuts, step * 1.5
+        if np.abs(np.r_[by_w, by_cuts]).max() < 1e-5:
+            break
+    loss, _, _, slope = at(model.weights.astype(float), model.thresholds)
+    assert loss - at(w, cuts)[0] < 1e-3 and np.abs(model.weights - w).max() < 0.1 * np.abs(w).max()
+
+    seen = {}
+    for i, k in enumerate(ids):
+        for b, v in features[k].items():
+            seen.setdefault(b, []).append((i, v))
+    for b, own in seen.items():
+        if b not in place and len(own) >= 5:
+            z = abs(sum(slope[i] * v for i, v in own)) / (sum(v * v for _, v in own) ** 0.5 * np.mean(slope**2) ** 0.5)
+            assert z < 4.5 + 1e-3
+
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    rows = queries.QUERIES["op5_quality_classifier"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        level = sum(weight.get(b, 0) * v for b, v in features[r.doc_id].items())
+        tail = 1 / (1 + np.exp(model.thresholds - level))
+        assert np.allclose([r.p_not_poor, r.p_good, r.expected_grade], [*tail, tail.sum()], atol=1e-4)
+        assert r.kept == (r.p_good >= cut)
+    kept = {r.doc_id: r.kept for r in rows}
+    assert sum(kept[k] for k in ids if graded[k] == 2) >= 0.98 * (grades == 2).sum()
+
+
 def test_op6(rows_of, texts):
     columns, rows = rows_of("op6_jaccard_join")
     ids = sorted(texts)
@@ -226,3 +302,11 @@ def test_edge_cases(spark, odd_tables, name):
         assert Counter(r[0] for r in rows) == Counter(ids)
         # repeated rows get the same result each, but for which of two equal pages answers
         assert name == "op8_fingerprint" or len({tuple(r)[1:] for r in rows if r[0] == 3}) == 1
+
+
+def test_ties_of_op3(spark, odd_tables):
+    """Of pages with equal payloads and the least page_id all are responses; later ones refer to it."""
+    odd, _, _ = odd_tables
+    rows = [(r.page_id, r.record_type, r.refers_to) for r in queries.QUERIES["op3_warc"](spark, odd).collect()]
+    assert rows.count((3, "response", None)) == 2 and (1, "response", None) in rows and (2, "revisit", 1) in rows
+    assert {r for r in rows if r[0] in (4, 5)} == {(4, "response", None), (5, "response", None)}
